@@ -1,0 +1 @@
+"""tesserae.streaming"""
