@@ -32,9 +32,9 @@ def text_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""lines AS (
   SELECT doc_id AS pair_id, unnest(list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)),
-           x -> trim(regexp_replace(x, '[\t\n\x0B\f\r ]+', ' ', 'g'))), x -> x <> '')) AS normalized,
+           lambda x: trim(regexp_replace(x, '[\t\n\x0B\f\r ]+', ' ', 'g'))), lambda x: x <> '')) AS normalized,
          generate_subscripts(list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)),
-           x -> trim(regexp_replace(x, '[\t\n\x0B\f\r ]+', ' ', 'g'))), x -> x <> ''), 1) AS line_no
+           lambda x: trim(regexp_replace(x, '[\t\n\x0B\f\r ]+', ' ', 'g'))), lambda x: x <> ''), 1) AS line_no
   FROM documents)"""
 
 QUERIES = {"text_exact_match": text_exact_match}
