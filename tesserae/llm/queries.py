@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import token_count
+from tesserae.llm import bpe, token_count
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +18,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_token_counts": op10_token_counts}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, decoded again."""
+    return bpe.encode_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_bpe": op8_bpe,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES: dict[str, str] = {"op10_token_counts": token_count.ORACLE}
