@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, quality, simhash, token_count, toxicity
+from tesserae.llm import bpe, mixing, quality, simhash, substring, token_count, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate and the copies of every document."""
+    return mixing.mix_rates(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -33,16 +38,23 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of words that repeats in the corpus."""
+    return substring.find_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, decoded again."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op10_token_counts": token_count.ORACLE}
+ORACLES: dict[str, str] = {"op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}
