@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tesserae.llm import bpe, mixing, quality, simhash, substring, token_count, toxicity
 
 
@@ -56,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}
