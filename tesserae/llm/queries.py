@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tesserae.llm import bpe, mixing, quality, simhash, substring, token_count, toxicity
+from tesserae.llm import bpe, mixing, quality, simhash, spherical, substring, token_count, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near copy among the embeddings, with the one that its group keeps."""
+    return spherical.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate and the copies of every document."""
     return mixing.mix_rates(read(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
@@ -59,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": spherical.ORACLE, "op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}
