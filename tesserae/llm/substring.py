@@ -87,8 +87,9 @@ def window_codes(words: np.ndarray, k: int) -> np.ndarray:
 _FOUND = ["id", "h", "start", "stop", "removed"]
 
 
-def _count_bucket(rows: pa.Table, k: int) -> pa.RecordBatch:
-    """Repeated stretches of whole minimisers; rows are sorted by minimiser, id, h and place."""
+def _count_bucket(rows: pa.Table, k: int, across: bool) -> pa.RecordBatch:
+    """Repeated stretches of whole minimisers; rows are sorted by minimiser, id, h and place. across:
+    repeated are windows with two different h, and none is a first one."""
     _, starts, ends, row, first = spans_of_words(packed := arrays.strings(rows.column("packed")))
     data = arrays.buffers(packed)[1]
     m, ids, h, at = (rows.column(c).to_numpy() for c in ("m", "id", "h", "at"))
@@ -106,8 +107,11 @@ def _count_bucket(rows: pa.Table, k: int) -> pa.RecordBatch:
     begin = np.flatnonzero(np.concatenate([[True], s_key[1:] != s_key[:-1]])) if len(s_key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(s_key)))
     later = np.ones(len(s_key), bool)
-    later[begin] = False
-    repeated = np.repeat(size > 1, size)
+    later[begin] = across
+    repeated = size > 1
+    if across and len(begin):
+        repeated = np.minimum.reduceat(h[of][order], begin) != np.maximum.reduceat(h[of][order], begin)
+    repeated = np.repeat(repeated, size)
     hit, later = order[repeated], later[repeated]
     back = np.argsort(hit, kind="stable")
     hit, later = hit[back], later[back]
@@ -158,15 +162,22 @@ def _pack(candidates: DataFrame, keyed: DataFrame, k: int, single: bool) -> Data
 def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, start, stop, removed): maximal stretches of words covered by repeated windows, those of
     first occurrences (by id) and those of later ones apart."""
-    keyed = _keyed(docs, id_col, text_col)
+    return stretches(_keyed(docs, id_col, text_col).withColumn("scope", F.lit(0).cast("long")), k, m, hot)
+
+
+def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False) -> DataFrame:
+    """(id, h, start, stop, removed) for keyed (id, h, text, scope). Windows of different scopes are
+    different. across: repeated are windows of texts with two different h, wherever they stand, and
+    all of them are removed."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for s in arrays.slices(arrays.strings(batch.column(2))):
                 row, at, n, least = super_kmers(s, k, m)
-                ids, h = (batch.column(c).to_numpy()[done + row] for c in (0, 1))
+                ids, h, scope = (batch.column(c).to_numpy()[done + row] for c in (0, 1, 3))
                 done += len(s)
+                least = np.where(scope == 0, least, arrays.mix(least ^ scope.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids), pa.array(h), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "id", "h", "at", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +192,10 @@ def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int
             of = rows.column("m").to_numpy()
             whole = int(np.searchsorted(of, of[-1], "left"))  # the last minimiser may go on
             if whole:
-                yield _count_bucket(rows.slice(0, whole), k)
+                yield _count_bucket(rows.slice(0, whole), k, across)
                 held = rows.slice(whole).combine_chunks().to_batches()
         if held:
-            yield _count_bucket(pa.Table.from_batches(held), k)
+            yield _count_bucket(pa.Table.from_batches(held), k, across)
 
     places = keyed.mapInArrow(placed, "m long, id long, h long, at int, n int")
     shared_ones = places.withColumn("times", F.count("*").over(Window.partitionBy("m"))).filter("times > 1")
@@ -193,9 +204,11 @@ def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int
     found = packed.repartition("m").sortWithinPartitions("m", "id", "h", "at").mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
     if candidates.filter(F.col("times") > hot).limit(1).count():
         words = F.regexp_replace("packed", r"[\t\n\x0B\f\r ]+", " ")
-        single = shared.cut(_pack(candidates.filter(F.col("times") > hot), keyed, k, single=True).select("id", "h", "at", words.alias("packed")).distinct())
-        first = single.groupBy("packed").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "at")).alias("first")).filter("times > 1")
-        every = single.join(first, "packed").select("id", "h", F.col("at").alias("start"), (F.col("at") + k).alias("stop"), (F.struct("id", "h", "at") != F.col("first")).alias("removed"))
+        single = shared.cut(_pack(candidates.filter(F.col("times") > hot), keyed, k, single=True).select("m", "id", "h", "at", words.alias("packed")).distinct())
+        first = single.groupBy("m", "packed").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "at")).alias("first"), (F.min("h") != F.max("h")).alias("apart"))
+        first = first.filter("apart" if across else "times > 1")
+        later = F.lit(True) if across else F.struct("id", "h", "at") != F.col("first")
+        every = single.join(first, ["m", "packed"]).select("id", "h", F.col("at").alias("start"), (F.col("at") + k).alias("stop"), later.alias("removed"))
         found = found.unionByName(every)
     kind = Window.partitionBy("id", "h", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(kind.rowsBetween(Window.unboundedPreceding, -1))
