@@ -2,8 +2,9 @@
 
 Among all document rates r, balancing takes those nearest to 1 (least sum of t (r log r - r + 1) over
 documents of t tokens) under constraints on tokens: each source's tokens after mixing are its target
-share of the total, and the mean log length over tokens stays as it was, so that mixing sources doesn't
-change how long texts are. The solution is exponentially tilted, r = exp(a[source] + b z), z being the
+share of the total (exactly), and the mean log length over tokens stays as it was (softly, by a
+quadratic penalty on its multiplier, so that there is a solution where lengths can't be met), so that
+mixing sources doesn't change how long texts are. The solution is exponentially tilted, r = exp(a[source] + b z), z being the
 centred log length; a and b minimise the convex dual and are found by damped Newton iterations, each a
 distributed sum of the dual's value, gradient and curvature. The rates are rounded to whole copies by a
 hash of the document, so that the expected tokens are kept and the copies don't depend on partitions.
@@ -22,6 +23,8 @@ from tesserae.llm import shared
 #: Without targets, a source's share is its tokens to this power, normalised.
 FLATTEN = 0.5
 ITERATIONS, TOLERANCE = 50, 1e-9
+#: Penalty on b: half of this times b^2 a token.
+PENALTY = 0.1
 
 
 def words(text: Column) -> Column:
@@ -51,21 +54,21 @@ def balance(histogram: DataFrame, targets: dict[str, float] | None = None, flatt
     Newton step eliminates a (the Hessian is an arrow), so only sums over sources reach the driver.
     """
     h = shared.cut(histogram.filter("tokens > 0"))
-    whole = h.agg(F.sum(F.col("n") * F.col("tokens")).alias("t"), F.sum(F.col("n") * F.col("tokens") * F.log1p("tokens")).alias("l")).first()
-    total, centre = float(whole.t or 0), (float(whole.l) / float(whole.t) if whole.t else 0.0)
     mass = F.col("n") * F.col("tokens")
-    by = h.groupBy("source").agg(F.sum(mass).cast("double").alias("have"))
+    by = h.groupBy("source").agg(F.sum(mass).cast("double").alias("have"), F.sum(mass * F.log1p("tokens")).alias("log"))
     if targets is None:
         by = by.withColumn("weight", F.pow("have", F.lit(flatten)))
     else:
         given = h.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets.items()] or [("", 0.0)], "source string, weight double")
-        by = by.join(F.broadcast(given), "source")
-    by = by.filter("weight > 0")
-    weights = float(by.agg(F.sum("weight").alias("w")).first().w or 0)
-    if not weights:
-        return Mix(shared.cut(by.select("source", F.lit(0.0).alias("a"))), 0, 0.0, centre)
-    state = shared.cut(by.select("source", (F.col("weight") / weights * total).alias("want")))
-    count, b = state.count(), 0.0
+        by = by.join(F.broadcast(given), "source", "left")
+    state = shared.cut(by.select("source", "have", "log", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+    whole = state.agg(F.sum("have").alias("total"), F.sum(F.when(F.col("weight") > 0, F.col("have"))).alias("have"), F.sum(F.when(F.col("weight") > 0, F.col("log"))).alias("log"), F.sum("weight").alias("weight")).first()
+    state = state.filter("weight > 0")
+    total, centre, b = float(whole.total or 0), float(whole.log or 0) / float(whole.have or 1), 0.0
+    if not whole.weight:
+        return Mix(shared.cut(state.select("source", F.lit(0.0).alias("a"))), 0, b, centre)
+    state = shared.cut(state.select("source", (F.col("weight") / whole.weight * total).alias("want")))
+    count = state.count()
     z = _z(F.col("tokens"), centre)
     h = shared.cut(h.join(shared.small(state.select("source"), count), "source").groupBy("source", "tokens").agg(F.sum("n").alias("n")))
 
@@ -79,13 +82,14 @@ def balance(histogram: DataFrame, targets: dict[str, float] | None = None, flatt
     for _ in range(ITERATIONS):
         x = sums(b).join(shared.small(state, count), "source")
         s = x.agg(F.sum(F.col("want") * F.log("s0")).alias("value"), F.sum(F.col("want") * F.col("s1") / F.col("s0")).alias("slope"), F.sum(F.col("want") * (F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), F.lit(2)))).alias("bend")).first()
-        if abs(s.slope) <= TOLERANCE * total or not s.bend > 1e-12 * total:
+        value, slope, bend = s.value + PENALTY / 2 * b * b * total, s.slope + PENALTY * b * total, s.bend + PENALTY * total
+        if abs(slope) <= TOLERANCE * total:
             break
-        step = -s.slope / s.bend
+        step = -slope / bend
         step = math.copysign(min(abs(step), 1.0), step)
         for _ in range(30):  # damping: the dual must fall
             new = sums(b + step).join(shared.small(state, count), "source").agg(F.sum(F.col("want") * F.log("s0")).alias("value")).first().value
-            if new <= s.value + 1e-12 * abs(s.value):
+            if new + PENALTY / 2 * (b + step) ** 2 * total <= value + 1e-12 * abs(value):
                 break
             step /= 2
         b += step
