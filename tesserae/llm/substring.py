@@ -8,14 +8,15 @@ windows are sorted by their words and counted exactly; hashes decide only where
 
 Before any text travels, the super-k-mers of each minimiser are counted as rows of a few numbers. One
 alone with its minimiser can't hold a repeated window (two equal windows of one document lie in two
-super-k-mers), so its text stays where it is. A minimiser of very many super-k-mers has its windows
-sent one by one and counted by an aggregate that combines before the shuffle, so that no bucket
-grows with the most common passage.
+super-k-mers), so its text stays where it is. The windows of a minimiser with very many
+super-k-mers go one by one, each to a bucket of its own and as its 128-bit digest instead of its words,
+so that a bucket's memory doesn't follow the most common passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 from tesserae.llm import arrays, shared
 
 WINDOW, GRAM = 50, 12
-#: A minimiser of more super-k-mers than this is counted window by window.
-HOT = 20_000
+#: The windows of a minimiser of more super-k-mers than this go one by one.
+HOT = 50_000
 #: Bytes of packed strings that a bucket's task counts together; whole minimisers only.
 TOGETHER = 8_000_000
 
@@ -94,9 +95,12 @@ def _count_bucket(rows: pa.Table, k: int, across: bool) -> pa.RecordBatch:
     data = arrays.buffers(packed)[1]
     m, ids, h, at = (rows.column(c).to_numpy() for c in ("m", "id", "h", "at"))
     code, _, _ = arrays.distinct(*arrays.cut(data, starts, ends))
-    inside = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
-    window, of = window_codes(code, k)[inside], row[inside]
+    inside = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :]) if k > 1 else np.zeros(0, np.int64)
+    window, of = window_codes(code, k)[inside] if len(inside) else inside, row[inside]
     place = at[of] + inside - first[of]
+    alone = np.flatnonzero(np.diff(first) == 1)  # a digest stands for the only window
+    window = np.concatenate([window, code[first[alone]] + len(code)])
+    of, place = np.concatenate([of, alone]), np.concatenate([place, at[alone]])
     group = np.cumsum(np.concatenate([[False], m[1:] != m[:-1]]))
     key = group[of] << 32 | window
     order = np.argsort(key, kind="stable")
@@ -128,8 +132,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).filter("id is not null and text is not null")
 
 
-def _pack(candidates: DataFrame, keyed: DataFrame, k: int, single: bool) -> DataFrame:
-    """(m, id, h, at, packed) of the candidates (m, id, h, at, n); single: a row for each window."""
+def _digests(column: pa.StringArray, word: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, list[str]]:
+    """(bucket, digest) of each window of k words from the given word on."""
+    data, starts, ends, _, _ = spans_of_words(column)
+    bounds, plain = arrays.cut(np.append(data, np.uint8(32)), starts, ends + 1)
+    plain = plain.copy()
+    plain[bounds[1:] - 1] = 32
+    raw = plain.tobytes()
+    found = [blake2b(raw[a:z], digest_size=16, key=x).digest() for a, z, x in zip(bounds[word].tolist(), bounds[word + k].tolist(), map(int.to_bytes, m.view(np.uint64).tolist(), [8] * len(m)), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64)[::2], [d.hex() for d in found]
+
+
+def _pack(candidates: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """(m, id, h, at, packed) of the candidates (m, id, h, at, n, hot): super-k-mers as they stand in the
+    text; of a hot one a digest for each window, under a bucket of its own."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,20 +157,23 @@ def _pack(candidates: DataFrame, keyed: DataFrame, k: int, single: bool) -> Data
                 lists = rows.column(3)
                 of = np.repeat(np.arange(len(s)), lists.value_lengths().to_numpy())
                 flat = lists.flatten()
-                at, n, m = (flat.field(c).to_numpy() for c in range(3))
-                if single:
-                    of, m, times = np.repeat(of, n), np.repeat(m, n), n
-                    at = np.repeat(at, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    n = np.ones(len(at), np.int64)
-                for b in range(0, len(at), 20_000):
-                    part = slice(b, b + 20_000)
+                at, n, m, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(4))
+                ids, h = (rows.column(c).to_numpy()[of] for c in (0, 1))
+                cold = np.flatnonzero(~hot)
+                for b in range(0, len(cold), 20_000):
+                    part = cold[b : b + 20_000]
                     word = first[of[part]] + at[part]
                     to, text = arrays.cut(data, starts[word], ends[word + n[part] + k - 2])
                     strings = pa.StringArray.from_buffers(len(to) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(text))
-                    ids, h = (rows.column(c).to_numpy()[of[part]] for c in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(m[part]), pa.array(ids), pa.array(h), pa.array(at[part].astype(np.int64)), strings], ["m", "id", "h", "at", "packed"])
-
-    listed = candidates.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m")).alias("parts"))
+                    yield pa.RecordBatch.from_arrays([pa.array(m[part]), pa.array(ids[part]), pa.array(h[part]), pa.array(at[part].astype(np.int64)), strings], names)
+                if hot.any():
+                    part = np.repeat(np.flatnonzero(hot), n[hot])
+                    within = np.arange(len(part)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+                    bucket, digest = _digests(s, first[of[part]] + at[part] + within, m[part], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[part]), pa.array(h[part]), pa.array((at[part] + within).astype(np.int64)), pa.array(digest, pa.string())], names)
+
+    names = ["m", "id", "h", "at", "packed"]
+    listed = candidates.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m", "hot")).alias("parts"))
     joined = keyed.join(listed, ["id", "h"]).select("id", "h", "text", "parts")
     return joined.mapInArrow(packed, "m long, id long, h long, at long, packed string")
 
@@ -199,17 +218,8 @@ def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False)
 
     places = keyed.mapInArrow(placed, "m long, id long, h long, at int, n int")
     shared_ones = places.withColumn("times", F.count("*").over(Window.partitionBy("m"))).filter("times > 1")
-    candidates = shared.cut(shared_ones)
-    packed = _pack(candidates.filter(F.col("times") <= hot), keyed, k, single=False)
+    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k)
     found = packed.repartition("m").sortWithinPartitions("m", "id", "h", "at").mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
-    if candidates.filter(F.col("times") > hot).limit(1).count():
-        words = F.regexp_replace("packed", r"[\t\n\x0B\f\r ]+", " ")
-        single = shared.cut(_pack(candidates.filter(F.col("times") > hot), keyed, k, single=True).select("m", "id", "h", "at", words.alias("packed")).distinct())
-        first = single.groupBy("m", "packed").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "at")).alias("first"), (F.min("h") != F.max("h")).alias("apart"))
-        first = first.filter("apart" if across else "times > 1")
-        later = F.lit(True) if across else F.struct("id", "h", "at") != F.col("first")
-        every = single.join(first, ["m", "packed"]).select("id", "h", F.col("at").alias("start"), (F.col("at") + k).alias("stop"), later.alias("removed"))
-        found = found.unionByName(every)
     kind = Window.partitionBy("id", "h", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(kind.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))

@@ -141,7 +141,7 @@ def brute(texts, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [20_000, 3, 0])
 def test_substring_matches_brute_force(spark, docs, rows, hot):
     table = [(i, t) for i, t, _ in rows if i != 8] + [(20, "p q r " * 40), (21, "p q r " * 40 + "end"), (22, "one " * 120)]
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
