@@ -39,9 +39,9 @@ def block_spans(parts: Column) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
-def tokens(block: Column) -> Column:
-    """The distinct lower-case words of a block."""
-    return F.array_distinct(F.filter(F.split(F.lower(block), rf"{WS}+"), lambda w: w != ""))
+def words(block: Column) -> Column:
+    """The distinct words of a normalised block, as they stand."""
+    return F.array_distinct(F.filter(F.split(block, rf"{WS}+"), lambda w: w != ""))
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -27,3 +27,91 @@ def match_text_blocks_exact(template: DataFrame, destination: DataFrame, pair: s
         .otherwise("matched")
     )
     return t.join(d, [*keys, "occurrence"], "full").select(pair, status.alias("status"), "template_index", "destination_index", "normalized")
+
+
+def match_owners(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, status, path, ord): owners (pair, ord, path) of both sides matched by path. Repeats stay and
+    ord keeps each side's order. One semi and two anti joins over the same keys."""
+    keys = [pair, "path"]
+    tell = lambda df, status: df.select(pair, F.lit(status).alias("status"), "path", "ord")
+    matched = tell(template.join(destination, keys, "left_semi"), "matched")
+    alone = tell(template.join(destination, keys, "left_anti"), "unmatched_template")
+    return matched.unionByName(alone).unionByName(tell(destination.join(template, keys, "left_anti"), "unmatched_destination"))
+
+
+#: Weights of content, length and position, and the least score of a refined match.
+WEIGHTS, THRESHOLD = (0.7, 0.15, 0.15), 0.7
+
+
+def refined_scores(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, template_index, destination_index, score) of block pairs (pair, index, normalized, total) that
+    score at least the threshold.
+
+    The join is on the pair, so a document's blocks meet only each other. Lengths bound the content's
+    share, so pairs that can't reach the threshold go before any distance is computed, and the distance
+    stops at the largest one allowed.
+    """
+    t = template.select(pair, F.col("index").alias("template_index"), F.col("normalized").alias("t"), F.col("total").alias("t_total"))
+    d = destination.select(pair, F.col("index").alias("destination_index"), F.col("normalized").alias("d"), F.col("total").alias("d_total"))
+    at = lambda i, n: F.when(F.col(n) > 1, F.col(i) / (F.col(n) - 1)).otherwise(0.5)
+    position = 1.0 - F.abs(at("template_index", "t_total") - at("destination_index", "d_total"))
+    longest = F.greatest(F.length("t"), F.length("d"))
+    size = F.when(F.length("t") == F.length("d"), 1.0).otherwise(F.least(F.length("t"), F.length("d")) / longest)
+    rows = t.join(d, pair).select("*", position.alias("position"), size.alias("size"), longest.alias("longest"))
+    rows = rows.filter((WEIGHTS[0] + WEIGHTS[1]) * F.col("size") + WEIGHTS[2] * F.col("position") >= THRESHOLD - 1e-9)
+    needed = (F.lit(THRESHOLD) - WEIGHTS[1] * F.col("size") - WEIGHTS[2] * F.col("position")) / WEIGHTS[0]
+    rows = rows.withColumn("most", F.ceil((1 - F.greatest(needed, F.lit(0.0))) * F.col("longest") + 1e-6).cast("int"))
+    rows = rows.withColumn("distance", F.expr("CASE WHEN t = d THEN 0 ELSE levenshtein(t, d, most) END")).filter("distance >= 0")
+    content = F.when(F.col("distance") == 0, 1.0).otherwise(1.0 - F.col("distance") / F.col("longest"))
+    score = WEIGHTS[0] * content + WEIGHTS[1] * F.col("size") + WEIGHTS[2] * F.col("position")
+    return rows.withColumn("score", score).filter(F.col("score") >= THRESHOLD).select(pair, "template_index", "destination_index", "score")
+
+
+def match_text_blocks(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, phase, template_index, destination_index, score): exact matches, then refined ones among what
+    is left (pair, index, normalized, total): in the destination's order each block takes the best
+    scoring free template block, the first of equals. Blocks without a match have phase null."""
+    exact = match_text_blocks_exact(template, destination, pair)
+    left = lambda side, status, index: side.join(exact.filter(F.col("status") == status).select(pair, F.col(index).alias("index")), [pair, "index"])
+    scored = refined_scores(left(template, "unmatched_template", "template_index"), left(destination, "unmatched_destination", "destination_index"), pair)
+    listed = scored.groupBy(pair).agg(F.array_sort(F.collect_list(F.struct("destination_index", (-F.col("score")).alias("worse"), "template_index"))).alias("ways"))
+    zero = F.struct(F.array().cast("array<int>").alias("t"), F.array().cast("array<int>").alias("d"), F.array().cast("array<struct<template_index:int,destination_index:int,score:double>>").alias("out"))
+
+    def take(acc, way):
+        free = ~F.array_contains(acc["t"], way["template_index"]) & ~F.array_contains(acc["d"], way["destination_index"])
+        ti, di = way["template_index"].cast("int"), way["destination_index"].cast("int")
+        one = F.struct(ti.alias("template_index"), di.alias("destination_index"), (-way["worse"]).alias("score"))
+        grown = F.struct(F.array_append(acc["t"], ti).alias("t"), F.array_append(acc["d"], di).alias("d"), F.array_append(acc["out"], one).alias("out"))
+        return F.when(free, grown).otherwise(acc)
+
+    refined = listed.select(pair, F.explode(F.aggregate("ways", zero, take, lambda a: a["out"])).alias("m")).select(pair, F.lit("refined").alias("phase"), "m.template_index", "m.destination_index", "m.score")
+    told = exact.filter("status = 'matched'").select(pair, F.lit("exact").alias("phase"), "template_index", "destination_index", F.lit(1.0).alias("score")).unionByName(refined)
+    alone = lambda status, index: exact.filter(F.col("status") == status).join(refined.select(pair, index), [pair, index], "left_anti").select(pair, F.lit(None).cast("string").alias("phase"), "template_index", "destination_index", F.lit(None).cast("double").alias("score"))
+    return told.unionByName(alone("unmatched_template", "template_index")).unionByName(alone("unmatched_destination", "destination_index"))
+
+
+def similarity(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, score): mean Jaccard of the blocks at equal index over the longer side; 1.0 if both are
+    empty. Sides have (pair, blocks); sums run in the order of the index."""
+    from tesserae.functions import text
+
+    both = left.select(pair, F.col("blocks").alias("a")).join(right.select(pair, F.col("blocks").alias("b")), pair)
+    total = F.greatest(F.size("a"), F.size("b"))
+    parts = F.zip_with("a", "b", lambda x, y: F.when(x.isNull() | y.isNull(), 0.0).otherwise(text.jaccard(text.words(x), text.words(y))))
+    score = F.when(total == 0, 1.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) / total)
+    return both.select(pair, score.alias("score"))
+
+
+def is_similar(scored: DataFrame, threshold: float) -> DataFrame:
+    """scored with threshold and matched."""
+    return scored.withColumn("threshold", F.lit(float(threshold))).withColumn("matched", F.col("score") >= threshold)
+
+
+def merge_text(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, output): the destination's blocks, then the template's without a match of either phase."""
+    matches = match_text_blocks(template, destination, pair)
+    used = matches.filter("phase is not null").select(pair, F.col("template_index").alias("index"))
+    rest = template.join(used, [pair, "index"], "left_anti").select(pair, F.lit(1).alias("side"), "index", "normalized")
+    every = destination.select(pair, F.lit(0).alias("side"), "index", "normalized").unionByName(rest)
+    sorted_blocks = F.array_sort(F.collect_list(F.struct("side", "index", "normalized")))
+    return every.groupBy(pair).agg(F.array_join(F.transform(sorted_blocks, lambda b: b["normalized"]), "\n\n").alias("output"))
