@@ -13,7 +13,13 @@ from collections.abc import Callable
 from tesserae.contracts import failure
 from tesserae.formats import trees
 
-_SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|'(?:\\.[^'\n]*|[^'\\\n])'|'[^'\\\n]{2,}'(?=[\s;,)\]}])""", re.S)
+_COMMON = r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\%s]|\\.)*"|`(?:[^`\\]|\\.)*`|"""
+#: Comments and strings. Rust's strings may have several lines, and an apostrophe alone is a lifetime.
+_SKIP = {
+    "typescript": re.compile(_COMMON % r"\n" + r"'(?:[^'\\\n]|\\.)*'", re.S),
+    "rust": re.compile(_COMMON % "" + r"'(?:\\[^'\n]+|[^'\\\n])'", re.S),
+    "go": re.compile(_COMMON % r"\n" + r"'(?:\\[^'\n]+|[^'\\\n])'", re.S),
+}
 _IMPORT = {
     "typescript": re.compile(r"import\b"),
     "rust": re.compile(r"(?:pub(?:\([^)]*\))?\s+)?use\b"),
@@ -26,10 +32,10 @@ _NAMED = {
 }
 
 
-def _statements(source: str) -> list[str]:
+def _statements(kind: str, source: str) -> list[str]:
     """Source texts of the outermost statements: each ends at a semicolon, at its closing brace, or at a
     line's end where nothing is open and the next line doesn't go on with it."""
-    blank = _SKIP.sub(lambda m: re.sub(r"[^\n]", " " if m[0][0] == "/" else "_", m[0]), source)
+    blank = _SKIP[kind].sub(lambda m: re.sub(r"[^\n]", " " if m[0][0] == "/" else "_", m[0]), source)
     out, depth, start = [], [], 0
     closing = {")": "(", "]": "[", "}": "{"}
 
@@ -75,7 +81,7 @@ def analyse(kind: str, source: str) -> tuple[list[dict], list[dict]]:
     text counts, at the place of the first; declarations are sorted by path."""
     imports: dict = {}
     found = []
-    for text in _statements(source):
+    for text in _statements(kind, source):
         if _IMPORT[kind].match(text):
             for key, part in _import_entries(kind, text):
                 at = key if kind == "go" else len(imports)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of files that one task reads.
+TASK_BYTES = 64 << 20
+
 
 def _system(root: str) -> tuple[pafs.FileSystem, str]:
     system, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
@@ -17,22 +19,26 @@ def _system(root: str) -> tuple[pafs.FileSystem, str]:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every file below root, path relative to it. A root that isn't there gives no
-    rows; one that is a file is an error."""
-    system, path = _system(root)
-    kind = system.get_file_info(path).type
+    """(path, content) of every file below root, path relative to it, hidden and empty files too. A root
+    that isn't there gives no rows; one that is a file is an error. The driver lists names; tasks read."""
+    system, base = _system(root)
+    kind = system.get_file_info(base).type
     if kind == pafs.FileType.File:
         raise NotADirectoryError(root)
-    empty = kind == pafs.FileType.NotFound or not any(f.is_file for f in system.get_file_info(pafs.FileSelector(path, recursive=True)))
-    if empty:
-        return spark.createDataFrame([], "path string, content string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = [] if kind == pafs.FileType.NotFound else system.get_file_info(pafs.FileSelector(base, recursive=True))
+    names = sorted((f.path[len(base) + 1 :], f.size or 0) for f in found if f.is_file)
+    tasks = max(1, min(len(names), sum(size for _, size in names) // TASK_BYTES + 1))
 
-    @F.udf("string")
-    def relative(uri: str) -> str:
-        return unquote(urlparse(uri).path)[len(path) :].lstrip("/")
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, here = _system(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with reach.open_input_file(f"{here}/{path}") as source:
+                    text = source.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], ["path", "content"])
 
-    return files.select(relative("path").alias("path"), F.decode("content", "UTF-8").alias("content"))
+    listed = spark.createDataFrame([(n,) for n, _ in names], "path string").repartition(tasks, "path")
+    return listed.mapInArrow(contents, "path string, content string")
 
 
 def write_tree(files: DataFrame, root: str) -> int:
