@@ -7,13 +7,14 @@ batch with very long texts doesn't multiply the memory a worker needs; one text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: ASCII white space.
 SPACE = np.zeros(256, bool)
@@ -47,6 +48,16 @@ def buffers(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data
 
 
+def release() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system: a worker is used again
+    and again, and what it keeps adds to the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(column: pa.StringArray, most: int = SLICE_BYTES) -> Iterator[pa.StringArray]:
     """Consecutive slices of whole rows, of about `most` bytes each."""
     offsets, _ = buffers(column)
@@ -55,6 +66,7 @@ def slices(column: pa.StringArray, most: int = SLICE_BYTES) -> Iterator[pa.Strin
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield column.slice(at, to - at)
         at = to
+    release()
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

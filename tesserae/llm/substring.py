@@ -143,7 +143,7 @@ def _digests(column: pa.StringArray, word: np.ndarray, m: np.ndarray, k: int) ->
     return np.frombuffer(b"".join(found), np.int64)[::2], [d.hex() for d in found]
 
 
-def _pack(candidates: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+def _pack(candidates: DataFrame, keyed: DataFrame, k: int, small_parts: int) -> DataFrame:
     """(m, id, h, at, packed) of the candidates (m, id, h, at, n, hot): super-k-mers as they stand in the
     text; of a hot one a digest for each window, under a bucket of its own."""
 
@@ -174,6 +174,10 @@ def _pack(candidates: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
 
     names = ["m", "id", "h", "at", "packed"]
     listed = candidates.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m", "hot")).alias("parts"))
+    if small_parts:
+        listed = shared.cut(listed)
+        if listed.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("n")).first().n <= small_parts:
+            listed = F.broadcast(listed)
     joined = keyed.join(listed, ["id", "h"]).select("id", "h", "text", "parts")
     return joined.mapInArrow(packed, "m long, id long, h long, at long, packed string")
 
@@ -184,10 +188,11 @@ def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int
     return stretches(_keyed(docs, id_col, text_col).withColumn("scope", F.lit(0).cast("long")), k, m, hot)
 
 
-def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False) -> DataFrame:
+def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False, small_parts: int = 0) -> DataFrame:
     """(id, h, start, stop, removed) for keyed (id, h, text, scope). Windows of different scopes are
     different. across: repeated are windows of texts with two different h, wherever they stand, and
-    all of them are removed."""
+    all of them are removed. Up to small_parts super-k-mers that may repeat, their places are broadcast to
+    the texts instead of shuffling both."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +220,12 @@ def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False)
                 held = rows.slice(whole).combine_chunks().to_batches()
         if held:
             yield _count_bucket(pa.Table.from_batches(held), k, across)
+        held.clear()
+        arrays.release()
 
     places = keyed.mapInArrow(placed, "m long, id long, h long, at int, n int")
     shared_ones = places.withColumn("times", F.count("*").over(Window.partitionBy("m"))).filter("times > 1")
-    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k)
+    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k, small_parts)
     found = packed.repartition("m").sortWithinPartitions("m", "id", "h", "at").mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
     kind = Window.partitionBy("id", "h", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(kind.rowsBetween(Window.unboundedPreceding, -1))
@@ -241,7 +248,8 @@ def find_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int = HOT
 
 
 def _without(text: Column, parts: Column) -> Column:
-    """text without the words of the parts (start, stop); what stands between words stays."""
+    """text without the words of the parts (start, stop); what stands between words stays. Said to be
+    nondeterministic so that it isn't computed once for a filter and again for the output."""
 
     @F.arrow_udf(T.StringType())
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -264,7 +272,7 @@ def _without(text: Column, parts: Column) -> Column:
             out.append(pa.StringArray.from_buffers(len(s), pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[stay])))
         return pa.chunked_array(out, pa.string()).combine_chunks() if out else pa.array([], pa.string())
 
-    return F.when(parts.isNull(), text).otherwise(cut(text, F.coalesce(parts, F.array().cast("array<struct<start:bigint,stop:bigint>>"))))
+    return F.when(parts.isNull(), text).otherwise(cut.asNondeterministic()(text, F.coalesce(parts, F.array().cast("array<struct<start:bigint,stop:bigint>>"))))
 
 
 def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
