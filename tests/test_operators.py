@@ -245,3 +245,46 @@ def test_similarity(spark):
     side = lambda *b: spark.createDataFrame([(1, list(b[0])), (2, list(b[1])), (3, [])], "pair_id long, blocks array<string>")
     got = {r.pair_id: (round(r.score, 6), r.matched) for r in match.is_similar(match.similarity(side(["a b", "c"], ["x"]), side(["a c"], ["x"])), 1.0).collect()}
     assert got == {1: (round(1 / 6, 6), False), 2: (1.0, True), 3: (1.0, True)}
+
+
+def test_edit_records(spark):
+    from tesserae.operators import edits
+
+    df = spark.createDataFrame([("insert", "text", "here")], "k string, c string, l string")
+    request = edits.record("request", operation_kind="k", content="c", source_label="l")
+    sent = df.select(envelopes.export(edits.record("execution_request", request=request, provider_family=F.lit("ruby")), "structured_edit_provider_execution_request").alias("e"))
+    import json
+
+    assert json.loads(sent.first().e) == {"kind": "structured_edit_provider_execution_request", "version": 1, "execution_request": {"request": {"operation_kind": "insert", "content": "text", "source_label": "here"}, "provider_family": "ruby"}}
+    many = df.select(edits.batch("execution_request", F.array(request)).alias("b")).first().b
+    assert many.requests[0].content == "text"
+    with pytest.raises(ValueError, match="lacks content"):
+        edits.record("request", operation_kind="k", source_label="l")
+    with pytest.raises(ValueError, match="has no odd"):
+        edits.record("request", operation_kind="k", content="c", source_label="l", odd="k")
+    assert len(edits.RECORDS) >= 55
+
+
+def test_review_of_a_manifest(spark):
+    from tesserae.operators import manifest
+
+    profile = ("json", ["json"], [])
+    suites = spark.createDataFrame([("portable", "json", None, ["merge"]), ("portable", "toml", None, ["merge", "gone"]), ("portable", "yaml", None, ["merge"])], "kind string, grammar string, variant string, roles array<string>")
+    families = spark.createDataFrame([(i, f, "merge", ["p"], None) for i, f in enumerate(("json", "toml", "yaml"))], f"ord int, family string, role string, path array<string>, requirements {conformance.REQUIREMENTS}")
+    typed = lambda rows, c: spark.createDataFrame(rows, f"family string, {c} {conformance.FAMILY_PROFILE}")
+    contexts, profiles = typed([("json", profile)], "context"), typed([("toml", ("toml", ["toml"], []))], "profile")
+    none = spark.createDataFrame([], "ord int, request_id string, action string, context_family string")
+    context = lambda families, explicit: spark.createDataFrame([("conformance_manifest", families, explicit)], "surface string, families array<string>, require_explicit_contexts boolean")
+    told = lambda s: sorted((r.reason, r.diagnostic.category) for r in s.diagnostics.collect())
+    state = manifest.review_manifest(suites, families, contexts, profiles, none, context(["json", "toml", "yaml"], False))
+    assert [r.grammar for r in state.runs.collect()] == ["json"] and state.requests.count() == 0
+    assert told(state) == [("family_context", "assumed_default"), ("family_context", "configuration_error"), ("missing_roles", "configuration_error")]
+    assert [tuple(r) for r in manifest.report(state, lambda row: ("passed", [])).collect()] == [("json", 1, 1, 0, 0)]
+    decisions = spark.createDataFrame([(0, "family_context:toml", "accept_default_context", None), (1, "family_context:gone", "accept_default_context", None)], none.schema)
+    state = manifest.review_manifest(suites, families, contexts, profiles, decisions, context(["json", "toml", "yaml"], True), True)
+    assert [r.request_id for r in state.applied_decisions.collect()] == ["family_context:toml"] and state.requests.count() == 0
+    assert ("request_not_found", "replay_rejected") in told(state) and ("missing_roles", "configuration_error") in told(state)
+    state = manifest.review_manifest(suites, families, contexts, profiles, decisions, context(["toml", "json", "yaml"], True), True)
+    assert ("context_mismatch", "replay_rejected") in told(state) and [r.id for r in state.requests.collect()] == ["family_context:toml"]
+    state = manifest.review_manifest(suites, families, contexts, profiles, decisions, None, True)
+    assert ("missing_context", "replay_rejected") in told(state)
