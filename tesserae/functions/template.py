@@ -46,11 +46,11 @@ def classify(path: Column) -> Column:
     return F.struct(path.alias("destination_path"), file_type.alias("file_type"), pick(0).alias("family"), pick(1).alias("dialect"))
 
 
-def destination_path(path: Column, project_name: str | None = None) -> Column:
-    """Where a logical path goes; null where it is left out."""
+def destination_path(path: Column, project_name: str | None = None, omitted: tuple[str, ...] = ()) -> Column:
+    """Where a logical path goes; null where it is one of those left out."""
     name = (project_name or "").strip()
     return (
-        F.when(path == ".kettle-jem.yml", F.lit(None))
+        F.when(path.isin(*omitted) if omitted else F.lit(False), F.lit(None))
         .when(path == ".env.local", ".env.local.example")
         .when((path == "gem.gemspec") & F.lit(bool(name)), f"{name}.gemspec")
         .otherwise(path)

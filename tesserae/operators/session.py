@@ -26,6 +26,7 @@ class Request:
     overrides: tuple[tuple[str, str], ...] = ()
     replacements: Mapping[str, str] = field(default_factory=dict)
     allowed_families: tuple[str, ...] = ()
+    omitted: tuple[str, ...] = ()
 
     def normalized_mode(self) -> str:
         """An unknown mode in a request means plan."""
@@ -71,7 +72,7 @@ def run(spark: SparkSession, request: Request) -> Session:
     files = trees.read_tree(spark, request.template_root)
     numbered = files.select(F.struct("path").alias("ord"), "path", "content")
     overrides = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(request.overrides)], "ord int, path string, strategy string") if request.overrides else None
-    plan = template.plan_execution(numbered, trees.read_tree(spark, request.destination_root), request.project_name, request.default_strategy, overrides, request.replacements)
+    plan = template.plan_execution(numbered, trees.read_tree(spark, request.destination_root), request.project_name, request.default_strategy, overrides, request.replacements, request.omitted)
     adapters = adapters_for(request.allowed_families)
     if request.normalized_mode() == "plan":
         return Session(plan, None, template.session_status("plan", plan, None, adapters), 0, [])

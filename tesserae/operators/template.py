@@ -22,12 +22,12 @@ from tesserae.functions import template as T
 ADAPTERS = ("markdown", "ruby", "toml")
 
 
-def plan_entries(template: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None) -> DataFrame:
+def plan_entries(template: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None, omitted: tuple[str, ...] = ()) -> DataFrame:
     """Paths, classification and strategy of the files (ord, path, content). overrides: (ord, path,
     strategy); of those of one path the first counts. They are joined by path."""
     logical = T.logical_path(F.col("path"))
     rows = template.select("ord", F.col("path").alias("template_source_path"), logical.alias("logical_destination_path"), F.col("content").alias("template_content"))
-    rows = rows.withColumn("destination_path", T.destination_path(F.col("logical_destination_path"), project_name))
+    rows = rows.withColumn("destination_path", T.destination_path(F.col("logical_destination_path"), project_name, omitted))
     rows = rows.withColumn("classification", T.classify(F.coalesce("destination_path", "logical_destination_path")))
     if overrides is None:
         rows = rows.withColumn("strategy", F.lit(default_strategy))
@@ -39,9 +39,10 @@ def plan_entries(template: DataFrame, project_name: str | None = None, default_s
     return rows.withColumn("action", F.when(F.col("destination_path").isNull(), "omit").otherwise(F.col("strategy")))
 
 
-def plan_execution(template: DataFrame, destination: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None, replacements: Mapping[str, str] | None = None) -> DataFrame:
-    """The whole plan of template files (ord, path, content) over destination files (path, content)."""
-    rows = plan_entries(template, project_name, default_strategy, overrides)
+def plan_execution(template: DataFrame, destination: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None, replacements: Mapping[str, str] | None = None, omitted: tuple[str, ...] = ()) -> DataFrame:
+    """The whole plan of template files (ord, path, content) over destination files (path, content). omitted: logical
+    paths that have no destination, such as a tool's own settings."""
+    rows = plan_entries(template, project_name, default_strategy, overrides, omitted)
     there = destination.select(F.col("path").alias("destination_path"), F.col("content").alias("destination_content"), F.lit(True).alias("found"))
     rows = rows.join(there, "destination_path", "left").withColumn("destination_exists", F.coalesce("found", F.lit(False))).drop("found")
     none, strategy = F.col("destination_path").isNull(), F.col("strategy")

@@ -105,8 +105,8 @@ def test_classification(spark):
     df = spark.createDataFrame([(p,) for p in [*want, None]], "p string")
     got = {r.p: r.t for r in df.select("p", TF.classify(F.col("p"))["file_type"].alias("t")).collect()}
     assert got == want | {None: None}
-    paths = spark.createDataFrame([("a.example",), ("a.no-osc.example",), ("a.example.example",), ("gem.gemspec",), (".kettle-jem.yml",), (".env.local",)], "p string")
-    assert [r[0] for r in paths.select(TF.destination_path(TF.logical_path(F.col("p")), "mine")).collect()] == ["a", "a", "a.example", "mine.gemspec", None, ".env.local.example"]
+    paths = spark.createDataFrame([("a.example",), ("a.no-osc.example",), ("a.example.example",), ("gem.gemspec",), (".tool.yml",), (".env.local",)], "p string")
+    assert [r[0] for r in paths.select(TF.destination_path(TF.logical_path(F.col("p")), "mine", (".tool.yml",))).collect()] == ["a", "a", "a.example", "mine.gemspec", None, ".env.local.example"]
 
 
 def test_tokens(spark):
@@ -115,7 +115,7 @@ def test_tokens(spark):
     assert [tuple(r) for r in rows] == [(["A|B", "A|B:C_1", "X|Y"], "{X|Y} {X|Y} {no} {A:B} {X|Y}"), ([], None), ([], "")]
 
 
-FILES = [("a.toml", "x = 1\n"), ("b.md.example", "# {P|N}\n"), ("c.rb", "def c\nend\n"), ("d.json", "{}"), ("e.txt", "{Q|R}"), (".kettle-jem.yml", "k"), ("same.txt", "same"), ("keep.txt", "t")]
+FILES = [("a.toml", "x = 1\n"), ("b.md.example", "# {P|N}\n"), ("c.rb", "def c\nend\n"), ("d.json", "{}"), ("e.txt", "{Q|R}"), (".tool.yml", "k"), ("same.txt", "same"), ("keep.txt", "t")]
 
 
 def test_session_over_directories(spark, tmp_path):
@@ -128,14 +128,14 @@ def test_session_over_directories(spark, tmp_path):
     target.mkdir()
     for p, c in (("a.toml", "y = 2\n"), ("d.json", "{}"), ("same.txt", "same"), ("keep.txt", "mine")):
         (target / p).write_text(c)
-    ask = lambda mode, **k: session.run(spark, session.Request(mode, str(source), str(target), overrides=(("./same.txt", "raw_copy"), ("keep.txt", "keep_destination"), ("keep.txt", "merge")), **k))
+    ask = lambda mode, **k: session.run(spark, session.Request(mode, str(source), str(target), overrides=(("./same.txt", "raw_copy"), ("keep.txt", "keep_destination"), ("keep.txt", "merge")), omitted=(".tool.yml",), **k))
     planned = ask("plan")
     assert planned.written == 0 and planned.status.first().planned_write_count == 5
     reasons = [(r.path, r.reason) for r in session.entry_diagnostics(planned.plan).collect()]
     assert reasons == [("b.md", "unresolved_tokens"), ("d.json", "missing_family_adapter"), ("e.txt", "unresolved_tokens"), ("sub/new ä.txt", "missing_family_adapter")]
     done = ask("apply", replacements={"P|N": "Name", "Q|R": "v"})
     status = {r.logical_destination_path: r.status for r in done.applied.collect()}
-    assert status == {"a.toml": "updated", "b.md": "created", "c.rb": "created", "d.json": "blocked", "e.txt": "created", ".kettle-jem.yml": "omitted", "same.txt": "kept", "keep.txt": "kept", "sub/new ä.txt": "created"}
+    assert status == {"a.toml": "updated", "b.md": "created", "c.rb": "created", "d.json": "blocked", "e.txt": "created", ".tool.yml": "omitted", "same.txt": "kept", "keep.txt": "kept", "sub/new ä.txt": "created"}
     assert done.written == 5 and (target / "a.toml").read_text() == "x = 1\ny = 2\n" and (target / "b.md").read_text() == "# Name\n" and (target / "sub/new ä.txt").read_text() == "deep" and (target / "keep.txt").read_text() == "mine"
     row = done.status.first()
     assert not row.ready and row.missing_families == ["json", "text"] and row.blocked_paths == ["d.json"] and row.written_count == 5
@@ -161,7 +161,7 @@ def test_trees(spark, tmp_path):
 def test_plan_reports(spark):
     t = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(FILES)], "ord int, path string, content string")
     d = spark.createDataFrame([("d.json", "{}")], "path string, content string")
-    plan = template.plan_execution(t, d, default_strategy="accept_template")
+    plan = template.plan_execution(t, d, default_strategy="accept_template", omitted=(".tool.yml",))
     report = template.plan_report(plan)
     assert template.summary(report, "create", "update", "keep", "blocked", "omitted").first().asDict() == {"create": 4, "update": 1, "keep": 0, "blocked": 2, "omitted": 1}
     applied = template.apply(plan)
