@@ -224,9 +224,13 @@ def quality(text: Column, trees: Trees) -> Column:
     return scored(text)
 
 
+def _has_content(text: Column) -> Column:
+    return text.rlike(r"[^\t\n\x0B\f\r ]")
+
+
 def kept(text: Column, trees: Trees, threshold: float = 0.5) -> Column:
     """Whether a text has any content and scores at least the threshold."""
-    return F.coalesce((F.length(F.trim(text)) > 0) & (quality(text, trees) >= threshold), F.lit(False))
+    return F.coalesce((_has_content(text)) & (quality(text, trees) >= threshold), F.lit(False))
 
 
 def rate(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -237,7 +241,7 @@ def rate(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: fl
     don't matter, whatever their names.
     """
     trees = train(docs, labels, p, id_col, text_col, label_col)
-    content = F.length(F.trim(F.col(text_col))) > 0
+    content = _has_content(F.col(text_col))
     rated = docs.select(F.col(id_col).alias(id_col), content.alias("content"), quality(F.col(text_col), trees).alias("quality"))
     return rated.select(id_col, "quality", F.coalesce(F.col("content") & (F.col("quality") >= threshold), F.lit(False)).alias("keep"))
 

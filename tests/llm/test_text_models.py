@@ -70,12 +70,12 @@ def _held_out(docs, labels, label, scored):
 
 
 def test_toxicity_held_out(sf):
-    docs, labels = sf("documents", "sf0.1"), sf("labels", "sf0.1")
+    docs, labels = sf("documents", "check_s"), sf("labels", "check_s")
     rows = _held_out(docs, labels, "toxic", lambda known: toxicity.detect(docs, known))
     right = np.mean([r.is_toxic == bool(r.toxic) for r in rows])
     toxic = [r.is_toxic for r in rows if r.toxic]
     clean = [r.is_toxic for r in rows if not r.toxic]
-    assert len(rows) > 400 and right > 0.97 and np.mean(toxic) > 0.9 and np.mean(clean) < 0.02, (right, np.mean(toxic), np.mean(clean))
+    assert len(rows) > 400 and right > 0.98 and np.mean(toxic) > 0.93 and np.mean(clean) < 0.005, (right, np.mean(toxic), np.mean(clean))
 
 
 def test_toxicity_weights_are_sparse_and_cases(docs, none, labels, sf, spark):
@@ -110,7 +110,7 @@ def test_quality_cases(docs, none, labels):
 def test_quality_is_monotonic():
     rng = np.random.default_rng(1)
     x = rng.uniform(size=(1500, 3))
-    y = (x[:, 0] - x[:, 1] + 0.6 * rng.standard_normal(1500) > 0).astype(float)
+    y = (x[:, 0] - x[:, 1] + 0.2 * rng.standard_normal(1500) > 0).astype(float)
     trees = quality.fit(x, y, quality.Params(trees=30), np.array([1, -1, 0]))
     base = rng.uniform(size=(200, 3))
     for f, sign in ((0, 1), (1, -1)):
