@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,9 @@ from pyspark.sql import types as T
 from tesserae.llm import arrays, shared, substring
 
 #: Least tokens of a repeated substring, and the gram by which a large host's substrings are divided.
-LENGTH, GRAM = 20, 8
+LENGTH, GRAM = 20, 12
 #: Bytes of html of a host that one task sorts.
 HOST_BYTES = 16_000_000
-
 _MARK = "\x01"
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<(/?[a-zA-Z][a-zA-Z0-9-]*)[^<>]*>?")
@@ -46,12 +46,34 @@ def stream(page: str) -> str:
     return " ".join(" ".join(parts).split())
 
 
+def _streams(pages: pa.Array) -> pa.StringArray:
+    done = [pa.array([None if p is None else stream(p) for p in s.to_pylist()], pa.string()) for s in arrays.slices(arrays.strings(pages))]
+    return pa.chunked_array(done, pa.string()).combine_chunks()
+
+
+def packed_streams(page: Column) -> Column:
+    """The token stream of each page, compressed for its way to the host's task; null for null."""
+
+    @F.arrow_udf(T.BinaryType())
+    def streamed(pages: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        done = [pa.array([None if p is None else pack(stream(p).encode()) for p in s.to_pylist()], pa.binary()) for s in arrays.slices(arrays.strings(pages))]
+        return pa.chunked_array(done, pa.binary()).combine_chunks()
+
+    return streamed(page)
+
+
+def _unpacked(column: pa.ChunkedArray) -> pa.StringArray:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if b is None else unpack(b).decode() for b in column.to_pylist()], pa.string())
+
+
 def streams(page: Column) -> Column:
     """The token stream of each page; null for null."""
 
     @F.arrow_udf(T.StringType())
     def streamed(pages: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else stream(p) for p in pages.to_pylist()], pa.string())
+        return _streams(pages)
 
     return streamed(page)
 
@@ -97,6 +119,33 @@ def covered(codes: np.ndarray, page: np.ndarray, group: np.ndarray, length: int)
 
 
 def _text(column: pa.StringArray, gone: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(text, tokens, tokens that went) of each stream, slice by slice; gone: by token."""
+    done, at = [], 0
+    for s in arrays.slices(column):
+        n = len(substring.spans_of_words(s)[1])
+        done.append(_text_of_slice(s, gone[at : at + n]))
+        at += n
+    if not done:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return pa.chunked_array([d[0] for d in done], pa.string()).combine_chunks(), np.concatenate([d[1] for d in done]), np.concatenate([d[2] for d in done])
+
+
+def _codes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, row) of every token of the streams; equal tokens have equal codes."""
+    words, rows, base = [], [], 0
+    for s in arrays.slices(column):
+        data, starts, ends, row, _ = substring.spans_of_words(s)
+        to, raw = arrays.cut(data, starts, ends)
+        words.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw)]))
+        rows.append(row + base)
+        base += len(s)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = pa.chunked_array(words).combine_chunks().dictionary_encode().indices
+    return codes.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(rows)
+
+
+def _text_of_slice(column: pa.StringArray, gone: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """(text of what stays, tokens, tokens that went) of each stream; gone: by token. Words of
     different blocks, or on either side of what went, are divided by a line's end."""
     data, starts, ends, row, first = substring.spans_of_words(column)
@@ -120,6 +169,7 @@ def _text(column: pa.StringArray, gone: np.ndarray) -> tuple[pa.StringArray, np.
     return text, np.diff(first), np.bincount(row[gone], minlength=n)
 
 
+_COLUMNS = ["row", "text", "n_tokens", "n_boilerplate"]
 _RESULT = "row {row}, text string, n_tokens long, n_boilerplate long"
 
 
@@ -153,20 +203,20 @@ def extract(pages: DataFrame, length: int = LENGTH, host_bytes: int = HOST_BYTES
 
     def alone(batches):
         for batch in batches:
-            tokens = arrays.strings(batch.column(1))
-            _, starts, *_ = substring.spans_of_words(tokens)
-            yield pa.RecordBatch.from_arrays(_result(batch.column(0), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, np.zeros(len(starts), bool))), ["row", "text", "n_tokens", "n_boilerplate"])
+            tokens = _streams(batch.column(1))
+            yield pa.RecordBatch.from_arrays(_result(batch.column(0), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, np.zeros(len(_codes(tokens)[0]), bool))), _COLUMNS)
 
     def by_host(table: pa.Table) -> pa.Table:
-        tokens = arrays.strings(table.column("tokens"))
-        data, starts, ends, row, _ = substring.spans_of_words(tokens)
-        code, _, _ = arrays.distinct(*arrays.cut(data, starts, ends))
+        tokens = _unpacked(table.column("tokens"))
+        code, row = _codes(tokens)
         stream_code = tokens.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         gone = covered(code, row, stream_code[row], length)
-        return pa.table(_result(table.column("row"), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, gone)), names=["row", "text", "n_tokens", "n_boilerplate"])
+        del code, row
+        arrays.release()
+        return pa.table(_result(table.column("row"), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, gone)), names=_COLUMNS)
 
-    no_host = base.filter("host is null").select("row", streams(F.col("html")).alias("tokens")).mapInArrow(alone, result)
-    small = base.filter("host is not null and large is null").select("host", "row", streams(F.col("html")).alias("tokens")).groupBy("host").applyInArrow(by_host, result)
+    no_host = base.filter("host is null").select("row", "html").mapInArrow(alone, result)
+    small = base.filter("host is not null and large is null").select("host", "row", packed_streams(F.col("html")).alias("tokens")).groupBy("host").applyInArrow(by_host, result)
     out = no_host.unionByName(small)
     if large:
         big = base.filter("large").select("row", "host", streams(F.col("html")).alias("tokens"))
@@ -176,21 +226,25 @@ def extract(pages: DataFrame, length: int = LENGTH, host_bytes: int = HOST_BYTES
 
 def _sharded(big: DataFrame, length: int, result: str) -> DataFrame:
     """The same for hosts that are too large for one task."""
+    place = shared.place(big.sparkSession, "streams")
+    big.write.option("compression", "zstd").parquet(place)  # each page is parsed once
+    big = big.sparkSession.read.parquet(place)
     keyed = big.select("row", "tokens", F.xxhash64("host").alias("scope"), F.xxhash64("tokens").alias("h")).withColumn("id", F.col("scope"))
-    once = keyed.filter("tokens is not null").select("id", "h", F.col("tokens").alias("text"), "scope").dropDuplicates(["id", "h"])
+    once = keyed.filter("tokens is not null").select("id", "h", F.col("tokens").alias("text"), "scope")
     spans = substring.stretches(once, length, min(GRAM, length), substring.HOT, across=True)
     spans = spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
 
     def cut(batches):
         for batch in batches:
             tokens, lists = arrays.strings(batch.column(1)), batch.column(2)
-            _, starts, _, _, first = substring.spans_of_words(tokens)
+            row = _codes(tokens)[1]
+            first = np.searchsorted(row, np.arange(len(tokens) + 1))
             flat = lists.flatten()
             of = np.repeat(np.arange(len(tokens)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             a, z = (first[of] + flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            gone = np.zeros(len(starts) + 1, np.int32)
+            gone = np.zeros(len(row) + 1, np.int32)
             np.add.at(gone, a, 1)
             np.add.at(gone, z, -1)
-            yield pa.RecordBatch.from_arrays(_result(batch.column(0), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, np.cumsum(gone[:-1]) > 0)), ["row", "text", "n_tokens", "n_boilerplate"])
+            yield pa.RecordBatch.from_arrays(_result(batch.column(0), tokens.is_valid().to_numpy(zero_copy_only=False), *_text(tokens, np.cumsum(gone[:-1]) > 0)), _COLUMNS)
 
     return keyed.join(spans, ["id", "h"], "left").select("row", "tokens", "parts").mapInArrow(cut, result)

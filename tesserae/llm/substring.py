@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays, shared
+from tesserae.llm import arrays
 
 WINDOW, GRAM = 50, 12
 #: The windows of a minimiser of more super-k-mers than this go one by one.
 HOT = 50_000
 #: Bytes of packed strings that a bucket's task counts together; whole minimisers only.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -143,7 +143,7 @@ def _digests(column: pa.StringArray, word: np.ndarray, m: np.ndarray, k: int) ->
     return np.frombuffer(b"".join(found), np.int64)[::2], [d.hex() for d in found]
 
 
-def _pack(candidates: DataFrame, keyed: DataFrame, k: int, small_parts: int) -> DataFrame:
+def _pack(candidates: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
     """(m, id, h, at, packed) of the candidates (m, id, h, at, n, hot): super-k-mers as they stand in the
     text; of a hot one a digest for each window, under a bucket of its own."""
 
@@ -174,10 +174,6 @@ def _pack(candidates: DataFrame, keyed: DataFrame, k: int, small_parts: int) ->
 
     names = ["m", "id", "h", "at", "packed"]
     listed = candidates.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m", "hot")).alias("parts"))
-    if small_parts:
-        listed = shared.cut(listed)
-        if listed.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("n")).first().n <= small_parts:
-            listed = F.broadcast(listed)
     joined = keyed.join(listed, ["id", "h"]).select("id", "h", "text", "parts")
     return joined.mapInArrow(packed, "m long, id long, h long, at long, packed string")
 
@@ -188,11 +184,10 @@ def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int
     return stretches(_keyed(docs, id_col, text_col).withColumn("scope", F.lit(0).cast("long")), k, m, hot)
 
 
-def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False, small_parts: int = 0) -> DataFrame:
+def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False) -> DataFrame:
     """(id, h, start, stop, removed) for keyed (id, h, text, scope). Windows of different scopes are
     different. across: repeated are windows of texts with two different h, wherever they stand, and
-    all of them are removed. Up to small_parts super-k-mers that may repeat, their places are broadcast to
-    the texts instead of shuffling both."""
+    all of them are removed."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +220,7 @@ def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False,
 
     places = keyed.mapInArrow(placed, "m long, id long, h long, at int, n int")
     shared_ones = places.withColumn("times", F.count("*").over(Window.partitionBy("m"))).filter("times > 1")
-    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k, small_parts)
+    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k)
     found = packed.repartition("m").sortWithinPartitions("m", "id", "h", "at").mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
     kind = Window.partitionBy("id", "h", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(kind.rowsBetween(Window.unboundedPreceding, -1))
