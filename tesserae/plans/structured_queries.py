@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import structured
 from tesserae.operators import match, nested, relational
-from tesserae.sources import table
+from tesserae.sources import spread, table
 
 
 def json_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = structured.analyze(F.col("props"), "json")
-    rows = table(spark, sf_dir, "events").select("event_id", F.explode(a["owners"]).alias("o"))
+    rows = spread(table(spark, sf_dir, "events")).select("event_id", F.explode(a["owners"]).alias("o"))
     return rows.select("event_id", F.col("o.path").alias("path"), F.col("o.owner_kind").alias("owner_kind"), F.col("o.match_key").alias("match_key"))
 
 
@@ -21,7 +21,7 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template: props below a, and the user; destination: the event below a, and its type."""
     template = F.format_string('{"a":%s,"t":%d}', "props", "user_id")
     destination = F.format_string('{"u":"%s","a":{"z":%d}}', "event_type", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("pair_id"), template.alias("template"), destination.alias("destination"))
+    return spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("pair_id"), template.alias("template"), destination.alias("destination"))
 
 
 def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +52,14 @@ def _merged(df: DataFrame, key: str, template: Column, destination: Column, fami
 
 
 def toml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     template = F.format_string('title = "order" # a comment\n[owner]\nkey = %d\nstatus = "%s"\n[owner.deep]\nx = [1, 2]\n', "o_custkey", "o_orderstatus")
     destination = F.format_string('[owner]\nkey = %d\n\n[zone]\npriority = "%s"\n', "o_orderkey", "o_orderpriority")
     return _merged(orders, "o_orderkey", template, destination, "toml")
 
 
 def yaml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"))
     template = F.format_string("name: part\nsize:\n  key: %d\n  tags:\n    - a\n    - b c\n", "p_partkey")
     destination = F.format_string("size:\n  key: %d\nextra: [x, 'y z']\n", F.col("p_partkey") + 1)
     return _merged(parts, "p_partkey", template, destination, "yaml")
@@ -67,14 +67,14 @@ def yaml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's page over a template with one more section."""
-    customers = table(spark, sf_dir, "customer")
+    customers = spread(table(spark, sf_dir, "customer"))
     template = F.format_string("# Template\n\nkey %d\n\n## More\n\n```json\n{}\n```\n", "c_custkey")
     destination = F.format_string("lost\n\n# Customer %d\n\nbody\n", "c_custkey")
     return _merged(customers, "c_custkey", template, destination, "markdown")
 
 
 def ruby_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
+    customers = spread(table(spark, sf_dir, "customer"))
     template = F.format_string('require "set"\n\n# Keeps %d.\nclass Keeper\n  def key\n  end\nend\n\ndef other\n  %d\nend\n', "c_custkey", "c_custkey")
     destination = F.format_string("require 'json'\nclass Keeper\n  # mine %d\nend\n", "c_custkey")
     return _merged(customers, "c_custkey", template, destination, "ruby")
@@ -83,24 +83,24 @@ def ruby_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def go_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.format_string('package a\nimport "fmt"\nfunc A() int {\n\treturn %d\n}\nfunc B() {}\n', "s_suppkey")
     destination = F.format_string('package a\nimport (\n\t"os"\n)\nfunc B() { x := "%d}" }\n', "s_suppkey")
-    return _merged(table(spark, sf_dir, "supplier"), "s_suppkey", template, destination, "go")
+    return _merged(spread(table(spark, sf_dir, "supplier")), "s_suppkey", template, destination, "go")
 
 
 def rust_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.format_string("use a::b;\npub fn one() -> u64 { %d }\nstruct Two;\n", "s_suppkey")
     destination = F.format_string("use c::{d, e};\nstruct Two { x: u64 } // %d\n", "s_suppkey")
-    return _merged(table(spark, sf_dir, "supplier"), "s_suppkey", template, destination, "rust")
+    return _merged(spread(table(spark, sf_dir, "supplier")), "s_suppkey", template, destination, "rust")
 
 
 def typescript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.format_string('import {a} from "x";\nexport const k = {v: %d};\ninterface I { a: string }\n', "s_suppkey")
     destination = F.format_string('import z from "y";\nexport interface I {\n  b: "%d}";\n}\n', "s_suppkey")
-    return _merged(table(spark, sf_dir, "supplier"), "s_suppkey", template, destination, "typescript")
+    return _merged(spread(table(spark, sf_dir, "supplier")), "s_suppkey", template, destination, "typescript")
 
 
 def markdown_nested_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merged page whose code block is replaced by an output of its own."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"))
+    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("pair_id"))
     pairs = parts.select("pair_id", F.lit("# T\n\n```json\n{}\n```\n").alias("template"), F.format_string("# D %d\n", "pair_id").alias("destination"))
     outputs = parts.select("pair_id", F.lit(0).alias("ord"), F.lit("document[0] > fenced_code_block[/code_fence/0]").alias("surface_address"), F.format_string('{"k":%d}\n', "pair_id").alias("output"))
     result = nested.merge_with_outputs(pairs, outputs, "markdown")
