@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from tesserae.llm import arrays, shared, substring
 
-#: Least tokens of a repeated substring, and the gram by which a large host's substrings are divided.
-LENGTH, GRAM = 20, 12
+#: Least tokens of a repeated substring, tag marks among them (footers come to as few as 10), and
+#: the gram by which a large host's substrings are divided.
+LENGTH, GRAM = 10, 6
 #: Bytes of html of a host that one task sorts.
 HOST_BYTES = 16_000_000
 _MARK = "\x01"

@@ -55,6 +55,16 @@ def test_extract_cases(spark, host_bytes):
     assert html.extract(df.limit(0), host_bytes=host_bytes).count() == 0
 
 
+@pytest.mark.parametrize("host_bytes", [html.HOST_BYTES, 0])
+def test_short_footers_go_and_articles_stay(spark, host_bytes):
+    from tests.llm.conftest import sentence
+
+    articles = [sentence(50 + k, 40) for k in range(6)]
+    table = [(k, f"http://h.example/{k}", f"<html><body><article><p>{a}</p></article><footer>&copy; h.example &middot; All of it is ours.</footer></body></html>") for k, a in enumerate(articles)]
+    rows = html.extract(spark.createDataFrame(table, "page_id long, url string, html string"), host_bytes=host_bytes).collect()
+    assert {r.page_id: r.text for r in rows} == dict(enumerate(articles)) and {r.n_boilerplate for r in rows} == {14}
+
+
 def test_suffix_array():
     import numpy as np
 
