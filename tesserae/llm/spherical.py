@@ -4,6 +4,8 @@ A filter is a direction, and a vector belongs to every filter whose direction it
 product over a threshold (a spherical cap). Directions are the products of two codebooks of random unit
 vectors, one for each half of the coordinates, so n^2 filters cost 2n inner products: a vector's
 list is decoded from the two short lists of codewords that can still reach the threshold together.
+Vectors are first turned by one random rotation, so that the halves share a vector's energy evenly however
+uneven it is over the coordinates (sparse or zero-padded vectors, coordinates in order of variance).
 The number of filters grows with the number of vectors and the threshold with it, so that a vector
 stands in a few dozen filters and a filter holds a bounded number of vectors at any size; it is set so
 that pairs at the threshold share a filter with a probability of `RECALL`. Vectors that
@@ -49,6 +51,13 @@ def codebooks(d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=8)
+def rotation(d: int) -> np.ndarray:
+    """The random rotation of vectors of d coordinates, an orthogonal matrix."""
+    q, r = np.linalg.qr(np.random.default_rng([SEED, d]).standard_normal((d, d)))
+    return (q * np.where(np.diag(r) < 0, -1.0, 1.0)).astype(np.float32)
+
+
 def code_size(vectors: int) -> int:
     """Codewords of each book for so many vectors."""
     return max(8, math.ceil(math.sqrt(vectors / VECTORS_A_FILTER)))
@@ -114,7 +123,7 @@ def _filtered(points: DataFrame, n: int, caps: dict[int, float]) -> DataFrame:
                 for k in range(0, len(rows), 1024):
                     some = rows[k : k + 1024]
                     x = _unit(flat[offsets[some][:, None] + np.arange(d)])
-                    row, to = decode(x, n, caps[int(d)])
+                    row, to = decode(x @ rotation(int(d)), n, caps[int(d)])
                     raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(len(row) + 1, dtype=np.int32) * np.int32(4 * d)), pa.py_buffer(np.ascontiguousarray(x[row]))])
                     yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(row), d, np.int32)), pa.array(rep[some[row]]), raw], ["filter", "d", "rep", "vector"])
 

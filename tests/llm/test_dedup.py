@@ -95,6 +95,24 @@ def test_caps_keep_recall_at_the_threshold(vectors):
     assert len(np.unique(a[np.isin(a * n * n + f, b * n * n + g)])) / 1500 > 0.95
 
 
+@pytest.mark.parametrize("scale", ["second half small", "second half zero", "falling", "sparse"])
+def test_recall_on_uneven_coordinates(spark, scale):
+    rng = np.random.default_rng(6)
+    d, pairs = 64, 1000
+    by = {"second half small": np.where(np.arange(d) < d // 2, 1, 0.2), "second half zero": np.where(np.arange(d) < d // 2, 1, 0), "falling": 1 / np.arange(1, d + 1), "sparse": np.ones(d)}[scale]
+    x, away = rng.standard_normal((2, pairs, d)) * by
+    if scale == "sparse":
+        some = np.argsort(rng.random((pairs, d)), axis=1) < 6
+        x, away = x * some, away * some
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * away
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]).astype(np.float32))], "rep long, vector array<float>")
+    got = {tuple(r) for r in spherical.near(points, 100_000, forest=False).collect()}  # filters as for a larger table
+    assert len(got & {(i, pairs + i) for i in range(pairs)}) / pairs > 0.95
+
+
 def test_list_decoding_is_complete():
     x = spherical._unit(np.random.default_rng(8).standard_normal((50, 24)))
     one, two = spherical.codebooks(24, 20)
