@@ -31,7 +31,8 @@ LENGTH, GRAM = 10, 6
 #: Bytes of html of a host that one task sorts.
 HOST_BYTES = 16_000_000
 _MARK = "\x01"
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)(script|style|noscript|template|svg)(?=[\s/>])(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+>", re.I | re.S)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style")}
 _TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<(/?[a-zA-Z][a-zA-Z0-9-]*)[^<>]*>?")
 _BLOCK = "p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section header footer nav aside main title body html head blockquote pre form dl dt dd hr figure figcaption option".split()
 
@@ -40,9 +41,42 @@ def _mark(m: re.Match) -> str:
     return f" {_MARK}{(m[1] or m[2]).lower()} "
 
 
+def _visible(page: str) -> str:
+    """A page without comments, scripts, styles, noscript, template and svg elements.
+
+    Scripts and styles end at their end tag, or with the page. Of the others an element without end tag
+    loses only its own tag; a self-closing svg is whole."""
+    gone: list[tuple[int, int]] = []
+    begun: list[tuple[str, int]] = []
+    times = dict.fromkeys(("noscript", "template", "svg"), 0)  # in begun
+    at = 0
+    while m := _GONE.search(page, at):
+        at, name, whole = m.end(), (m[2] or "").lower(), m[0].endswith("/>")
+        if not m[1]:
+            if name in _RAW_END and not (whole and times["svg"]):  # in an svg these can be self-closing too
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            elif name in times and not (whole and name == "svg"):
+                begun.append((name, m.start()))
+                times[name] += 1
+            gone.append((m.start(), at))
+        elif times.get(name):
+            last = ""
+            while last != name:
+                last, start = begun.pop()
+                times[last] -= 1
+            gone.append((start, at))
+    parts, done = [], 0
+    for a, z in sorted(gone):
+        if a >= done:
+            parts.append(page[done:a])
+        done = max(done, z)
+    return " ".join([*parts, page[done:]])
+
+
 def stream(page: str) -> str:
     """A page's tokens, one space between them; a tag is its name behind a mark."""
-    text = _TAG.sub(_mark, _GONE.sub(" ", page.replace(_MARK, " ")))
+    text = _TAG.sub(_mark, _visible(page.replace(_MARK, " ")))
     parts = entities.unescape(text).split(" ")
     return " ".join(" ".join(parts).split())
 

@@ -55,6 +55,18 @@ def test_extract_cases(spark, host_bytes):
     assert html.extract(df.limit(0), host_bytes=host_bytes).count() == 0
 
 
+def test_what_follows_an_element_stays(spark):
+    middles = [
+        '<svg-icon name="x"></svg-icon>', "<template-x>", "<style-guide></style-guide>", '<svg class="i"/>', "<svg/>", '<svg a="x > y"/>', "<svg>", "<noscript>", "<template/>", "<svg><svg>in</svg>",
+        "<svg>in<svg>in</svg>in</svg>", "<svg><script href='x'/><style/>in</svg>", "<template>in<svg>in</template>", "<!-- <svg> -->", "<noscript>in</NOSCRIPT >", "<script>'<svg>'</script>", "<script>in</script-x>in</script x>", "<svg a='>'>in</svg>", "</template></svg>",
+    ]
+    df = spark.createDataFrame([(k, None, f"<p>before</p>{m}<p>after one two</p>") for k, m in enumerate(middles)], "page_id long, url string, html string")
+    assert {middles[r.page_id]: r.text.split() for r in html.extract(df).collect()} == {m: "before after one two".split() for m in middles}
+    assert html.stream("<p>before</p><svg><p>between</p><svg>in</svg><p>after</p><style>in").replace("\x01", "<").split() == "<p before </p <p between </p <p after </p".split()
+    many = 20_000
+    assert html.stream("<svg>" * many + "x" + "</template>" * many).split()[0] == "x" and html.stream("<svg>" * many + "x" + "</svg>" * many) == ""
+
+
 @pytest.mark.parametrize("host_bytes", [html.HOST_BYTES, 0])
 def test_short_footers_go_and_articles_stay(spark, host_bytes):
     from tests.llm.conftest import sentence
