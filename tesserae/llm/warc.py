@@ -1,9 +1,10 @@
 """WARC files: a writer, and a reader that salvages what damage leaves.
 
 Files are read in ranges of bytes, so one large file is the work of many tasks. A range's task walks from
-member to member (gzip members, or bare records by their version line) that begin in its range. A member
-counts if it decompresses with the right checksum, and each record if its header, its length, its end
-and its block digest are right. After a failed check the reader searches for the next valid gzip member
+member to member (gzip members, or bare records by their version line) that begin in its range. A record
+counts if its header, its length, its end and its block digest are right. In a gzip member that has a wrong record
+the search goes on at the next version line of its content; of a damaged member, records with a digest that were
+decompressed before the damage count. After a failed check the reader searches for the next valid gzip member
 or version line and goes on there. What lies between valid members is logged as a quarantined gap.
 """
 
@@ -50,8 +51,9 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | None:
-    """(record, its end) of the record at data[at:], or None where it isn't a whole and right one."""
+def parse(data: bytes | memoryview, at: int, sure: bool = False) -> tuple[dict, int] | None:
+    """(record, its end) of the record at data[at:], or None where it isn't a whole and right one. sure:
+    also None where it has no digest to tell."""
     data = bytes(data) if isinstance(data, memoryview) else data
     if data[at : at + 7] != _VERSION:
         return None
@@ -71,7 +73,7 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | None:
         return None
     body = data[head + 4 : end]
     said = fields.get(b"warc-block-digest", "")
-    if said.startswith("sha1:") and said != _digest(body):
+    if said != _digest(body) if said.startswith("sha1:") else sure:
         return None
     found = {"type": fields.get(b"warc-type"), "uri": fields.get(b"warc-target-uri"), "record_id": fields.get(b"warc-record-id"), "date": fields.get(b"warc-date"), "body": body}
     return found, end + 4
@@ -105,19 +107,42 @@ class _Bytes:
             start += len(part) - len(what) + 1
         return -1
 
-    def gunzip(self, start: int) -> tuple[bytes, int] | None:
-        """(content, end) of the gzip member at start; None where it is damaged."""
+    def gunzip(self, start: int) -> tuple[bytes, int, bool]:
+        """(content, end, whole) of the gzip member at start; of a damaged one, the content before the damage."""
         z, out, at = zlib.decompressobj(31), [], start
-        try:
-            while not z.eof:
-                part = self.at(at, 1 << 16)
-                if not part:
-                    return None
+        while not z.eof:
+            part, before = self.at(at, 1 << 16), z.copy()
+            if not part:
+                return b"".join(out), at, False
+            try:
                 out.append(z.decompress(part))
-                at += len(part)
-        except zlib.error:
-            return None
-        return b"".join(out), at - len(z.unused_data)
+            except zlib.error:
+                for k in range(len(part)):
+                    try:
+                        out.append(before.decompress(part[k : k + 1]))
+                    except zlib.error:
+                        break
+                return b"".join(out), at, False
+            at += len(part)
+        return b"".join(out), at - len(z.unused_data), True
+
+    def reached(self, start: int, n: int) -> int:
+        """Where the first n bytes of the content of the gzip member at start end in the file."""
+        z, at = zlib.decompressobj(31), start
+        while True:
+            part, before, left = self.at(at, 1 << 16), z.copy(), n
+            try:
+                n -= len(z.decompress(part))
+            except zlib.error:
+                n = 0
+            if n <= 0:
+                break
+            at += len(part)
+        for k in range(len(part)):
+            left -= len(before.decompress(part[k : k + 1]))
+            if left <= 0:
+                return at + k + 1
+        return at + len(part)
 
     def bare(self, start: int) -> tuple[list[dict], int] | None:
         """The bare record at start; more is read until its length is satisfied."""
@@ -136,16 +161,18 @@ class _Bytes:
         head = self.at(start, 7)
         if head == _VERSION:
             return self.bare(start)
-        if head[:3] != _MAGIC or not (got := self.gunzip(start)):
+        if head[:3] != _MAGIC:
             return None
+        content, end, whole = self.gunzip(start)
         records, at = [], 0
-        while at < len(got[0]):
-            one = parse(got[0], at)
+        while 0 <= at < len(content):
+            one = parse(content, at, sure=not whole)
             if one is None:
-                return None
+                at = content.find(_VERSION, at + 1)
+                continue
             records.append(one[0])
-            at = one[1]
-        return (records, got[1]) if records else None
+            at = last = one[1]
+        return (records, end if whole else self.reached(start, last)) if records else None
 
 
 def scan(source: pa.NativeFile, size: int, first: int, end: int) -> Iterator[tuple[int, int, list[dict]]]:
@@ -173,7 +200,7 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
 
     path: a folder (or one file) that driver and executors can reach, of .warc and .warc.gz files. A
     record's start and stop are its member's bytes in the file, position its number in the member. Gaps
-    have start and stop only. An empty file gives no rows, one without any valid record one gap. Valid
+    have start and stop only; a wrong record within an undamaged gzip member beside right ones is left out without a gap. An empty file gives no rows, one without any valid record one gap. Valid
     looking members inside another's bytes aren't records.
     """
     system, root = _system(path)

@@ -125,6 +125,28 @@ def test_warc_cases(spark, tmp_path):
         assert len([g for g in got if g[0] == "a.warc" and g[2]]) == 2
 
 
+def test_members_of_several_records_are_salvaged():
+    import random
+
+    bodies = [random.Random(k).randbytes(40_000) for k in range(4)]
+    records = [warc.record(b, "u", f"urn:page:{k}") for k, b in enumerate(bodies)]
+    wrong = warc.record(b"x" * 50, "u", "urn:page:9").replace(b"xxx", b"yyy")
+    after = warc.member(warc.record(b"last", "u", "urn:page:5"))
+    whole = warc.member(b"".join(records))
+    no_digest = warc.member(b"".join(b"\r\n".join(x for x in r.split(b"\r\n") if not x.startswith(b"WARC-Block")) for r in records))
+    middle = len(whole) * 5 // 8
+
+    def found(raw):
+        at = list(warc.scan(pa.BufferReader(raw), len(raw), 0, len(raw)))
+        assert all(a[1] <= b[0] for a, b in zip(at, at[1:], strict=False))
+        return [r["body"] for a in at for r in a[2]]
+
+    assert found(warc.member(records[0] + wrong + records[1]) + after) == [*bodies[:2], b"last"]
+    assert found(whole[:middle] + after) == found(whole[:middle]) + [b"last"] == [*bodies[:2], b"last"]
+    assert found(whole[:middle] + bytes(9) + whole[middle + 9 :] + after) == [*bodies[:2], bodies[3], b"last"]
+    assert found(no_digest[:middle] + after) == [b"last"]
+
+
 def test_scan_of_bytes():
     raw = b"".join(warc.member(warc.record(str(k).encode(), "u", f"urn:page:{k}")) for k in range(5))
     found = list(warc.scan(pa.BufferReader(raw), len(raw), 0, len(raw)))
