@@ -51,13 +51,29 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+def _headed(data: bytes, at: int) -> tuple[int, bool]:
+    """(where the header at data[at:] ends, -1 if nowhere; whether it may end in bytes beyond data). A header
+    of over 64 KB must be lines of a name and a colon."""
+    head = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    if head >= 0:
+        return head, False
+    begin = at
+    while (stop := data.find(b"\r\n", begin)) >= 0:
+        if stop == begin:
+            return stop - 2, False
+        if begin == at and stop > at + 32 or begin > at and b":" not in data[begin:stop]:
+            return -1, False
+        begin = stop + 2
+    return -1, begin > at or len(data) < at + 34
+
+
 def parse(data: bytes | memoryview, at: int, sure: bool = False) -> tuple[dict, int] | None:
     """(record, its end) of the record at data[at:], or None where it isn't a whole and right one. sure:
     also None where it has no digest to tell."""
     data = bytes(data) if isinstance(data, memoryview) else data
     if data[at : at + 7] != _VERSION:
         return None
-    head = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    head, _ = _headed(data, at)
     if head < 0:
         return None
     fields = {}
@@ -146,8 +162,13 @@ class _Bytes:
 
     def bare(self, start: int) -> tuple[list[dict], int] | None:
         """The bare record at start; more is read until its length is satisfied."""
-        head = self.at(start, 1 << 16)
-        stop = head.find(b"\r\n\r\n")
+        n = 1 << 16
+        head = self.at(start, n)
+        stop, more = _headed(head, 0)
+        while more and start + len(head) < self.size:
+            n *= 4
+            head = self.at(start, n)
+            stop, more = _headed(head, 0)
         if stop < 0:
             return None
         size = next((x.partition(b":")[2].strip() for x in head[:stop].split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")

@@ -147,6 +147,16 @@ def test_members_of_several_records_are_salvaged():
     assert found(no_digest[:middle] + after) == [b"last"]
 
 
+def test_headers_of_any_length():
+    for n in (65_300, 65_400, 65_500, 70_000, 3_000_000):
+        raw = warc.record(b"a", "http://x/" + "u" * n, "urn:page:1")
+        for both in (raw + raw, warc.member(raw) * 2):
+            found = list(warc.scan(pa.BufferReader(both), len(both), 0, len(both)))
+            assert [len(r["uri"]) for x in found for r in x[2]] == [n + 9] * 2
+    broken = b"WARC/1.1\r\n" + b"no header " * 20_000 + b"\r\n" + raw
+    assert [x[0] for x in warc.scan(pa.BufferReader(broken), len(broken), 0, len(broken))] == [len(broken) - len(raw)]
+
+
 def test_scan_of_bytes():
     raw = b"".join(warc.member(warc.record(str(k).encode(), "u", f"urn:page:{k}")) for k in range(5))
     found = list(warc.scan(pa.BufferReader(raw), len(raw), 0, len(raw)))
