@@ -211,20 +211,18 @@ def scan(source: pa.NativeFile, size: int, first: int, end: int) -> Iterator[tup
         at = min(ways)
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """(file, start, stop, position, type, uri, record_id, date, body) of every valid record, and a row
     with type null for each gap.
 
-    path: a folder (or one file) that driver and executors can reach, of .warc and .warc.gz files. A
+    path: a folder (or one file) of .warc and .warc.gz files; without a scheme it is of the cluster's default
+    file system, as any path of Spark's. A
     record's start and stop are its member's bytes in the file, position its number in the member. Gaps
     have start and stop only; a wrong record within an undamaged gzip member beside right ones is left out without a gap. An empty file gives no rows, one without any valid record one gap. Valid
     looking members inside another's bytes aren't records.
     """
-    system, root = _system(path)
+    path = shared.qualified(spark, path)
+    system, root = shared.system(path)
     info = system.get_file_info(root)
     found = [info] if info.is_file else system.get_file_info(pafs.FileSelector(root, recursive=True))
     files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz")) and f.size)
@@ -236,7 +234,7 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
     ranges = ranges.repartition(max(1, min(n, 100_000)), "path", "first")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach, _ = _system(path)
+        reach, _ = shared.system(path)
         for batch in batches:
             for row in batch.to_pylist():
                 with reach.open_input_file(row["path"]) as source:
@@ -284,14 +282,15 @@ def write_warc(pages: DataFrame, path: str, damage: Damage | None = None, compre
 
     A null html isn't written; a null id or url leaves its header field out.
     """
-    system, root = _system(path)
+    path = shared.qualified(pages.sparkSession, path)
+    system, root = shared.system(path)
     system.create_dir(root, recursive=True)
     ending = ".warc.gz" if compressed else ".warc"
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        reach, here = _system(path)
+        reach, here = shared.system(path)
         name = f"{here}/part-{TaskContext.get().partitionId():06d}{ending}"
         n = 0
         with reach.open_output_stream(working := f"{name}.{uuid.uuid4().hex}.tmp", compression=None) as sink:
