@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import html, warc
+from tesserae.llm import html, shared, warc
 
 
 def brute(pages, length):
@@ -39,6 +39,29 @@ def test_extract_matches_brute_force(sf, length, host_bytes):
     assert sum(g[2] for g in got) > 0
 
 
+@pytest.mark.parametrize("block_bytes", [3_000, 60_000])
+def test_blocks_change_nothing(sf, block_bytes):
+    """Every host in blocks, hosts just above and below the size, and every host in one task."""
+    pages = sf("pages").repartition(5, "page_id")
+    want = sorted(map(tuple, html.extract(pages).collect()), key=repr)
+    size = pages.groupBy(html.host_of(F.col("url"))).agg(F.sum(F.octet_length("html")).alias("n")).orderBy("n").collect()
+    for most in (0, size[len(size) // 2].n, size[len(size) // 2].n - 1):
+        assert sorted(map(tuple, html.extract(pages, host_bytes=most, block_bytes=block_bytes).collect()), key=repr) == want
+
+
+def test_identical_pages_are_one_however_many(spark):
+    """Copies cost a row each: what is compared between blocks grows with blocks, not with pairs of pages."""
+    from tests.llm.conftest import sentence
+
+    page = f"<p>{sentence(1, 300)}</p>"
+    for copies in (200, 800):
+        df = spark.createDataFrame([(k, "http://h.example", page) for k in range(copies)], "page_id long, url string, html string").repartition(4, "page_id")
+        got = html.extract(df, host_bytes=0, block_bytes=20_000).collect()
+        assert len(got) == copies and {r.n_boilerplate for r in got} == {0} and {r.text for r in got} == {sentence(1, 300)}
+    block = html._Block(pa.chunked_array([pa.array(range(copies))]), pa.array([html.stream(page)] * copies), html.LENGTH)
+    assert len(block.open_ones("h", 40, block.minimisers(html._scope("h"), 40)[2])[0]) == len(set(zip(*[html.stream(page).split()[k:] for k in range(html.LENGTH)])))
+
+
 @pytest.mark.parametrize("host_bytes", [html.HOST_BYTES, 0])
 def test_extract_cases(spark, host_bytes):
     menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>menu {k}</a></li>" for k in range(9)) + "</ul></nav>"
@@ -125,6 +148,17 @@ def test_warc_cases(spark, tmp_path):
         assert len([g for g in got if g[0] == "a.warc" and g[2]]) == 2
 
 
+def test_paths_are_those_of_the_cluster(spark, tmp_path):
+    bare = shared.qualified(spark, str(tmp_path))
+    assert bare.startswith("file:/") and shared.system(bare)[1] == str(tmp_path) and shared.system(f"file://{tmp_path}")[1] == str(tmp_path)
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string")
+    for path in (f"{tmp_path}/a", f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        warc.write_warc(pages, path)
+        assert [r.uri for r in warc.read_warc(spark, path).collect()] == ["u"]
+    with pytest.raises(ValueError, match="scheme"):
+        shared.system("/bare")
+
+
 def test_members_of_several_records_are_salvaged():
     import random
 
