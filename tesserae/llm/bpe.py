@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays, vocab
+from tesserae.llm import arrays, shared, vocab
 
 _NONE = np.int64(1) << np.int64(62)
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -230,6 +230,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids, round_trip true. Texts of any length are encoded whole. Null ids and repeated rows are kept
     row by row; other columns don't matter, whatever their names.
     """
-    ids = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("source"), encode(F.col(text_col), path).alias("token_ids"))
+    ids = docs.select(shared.named(id_col).alias(id_col), shared.named(text_col).alias("source"), encode(shared.named(text_col), path).alias("token_ids"))
     back = ids.select(id_col, "source", "token_ids", decode(F.col("token_ids"), path).alias("back"))
     return back.select(id_col, "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), (F.col("back") == F.col("source")).alias("round_trip"))

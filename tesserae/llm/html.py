@@ -251,8 +251,8 @@ def extract(pages: DataFrame, length: int = LENGTH, host_bytes: int = HOST_BYTES
     html: empty text. A null url, or one without a host, has no boilerplate. Null and repeated ids are kept row
     by row. An empty table gives no rows. Other columns don't matter, whatever their names.
     """
-    kept = F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("row")
-    base = pages.select(kept, host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    kept = F.struct(shared.named(id_col).alias("id"), shared.named(url_col).alias("url")).alias("row")
+    base = pages.select(kept, host_of(shared.named(url_col)).alias("host"), shared.named(html_col).alias("html"))
     by_size = base.filter("host is not null").groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("bytes") > host_bytes)
     sizes = shared.cut(by_size)
     large, in_all = sizes.agg(F.count("*"), F.sum("bytes")).first()

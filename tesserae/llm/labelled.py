@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import shared
+
 #: Most labelled rows that a classifier is fitted on. Fitting only; every document is scored.
 MAX_LABELLED = 20_000
 
@@ -16,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABEL
     The chosen ids (at most `most` rows of 20 bytes, whatever the input's size) are broadcast, so the
     documents aren't shuffled.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).dropna()
+    known = labels.select(shared.named(id_col).alias("id"), shared.named(label).cast("int").alias("label")).dropna()
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(most)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
+    texts = docs.select(shared.named(id_col).alias("id"), shared.named(text_col).alias("text")).dropna()
     return texts.join(F.broadcast(chosen), "id").select("id", "order", "label", "text")

@@ -97,17 +97,17 @@ def balance(histogram: DataFrame, targets: dict[str, float] | None = None, flatt
     return Mix(shared.cut(solved), count, b, centre)
 
 
-def _source(docs: DataFrame, source_col: str) -> Column:
+def _source(source_col: str) -> Column:
     """A null source is a source of its own."""
-    return F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("s"), shared.named(source_col).cast("string")), F.lit("null"))
 
 
 def _rated(docs: DataFrame, targets: dict[str, float] | None, flatten: float, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(row, tokens, rate, copies) of every row of docs."""
-    facts = docs.select(_source(docs, source_col).alias("source"), words(docs[text_col]).alias("tokens"))
+    facts = docs.select(_source(source_col).alias("source"), words(shared.named(text_col)).alias("tokens"))
     keyed = None if targets is None else {"s" + k if k is not None else "null": v for k, v in targets.items()}
     mix = balance(facts.groupBy("source", "tokens").agg(F.count("*").alias("n")), keyed, flatten)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _source(docs, source_col).alias("source"), words(docs[text_col]).alias("tokens"))
+    rows = docs.select(shared.row(docs).alias("row"), _source(source_col).alias("source"), words(shared.named(text_col)).alias("tokens"))
     rows = rows.join(shared.small(mix.sources, mix.n_sources), "source", "left")
     rate = F.when(F.col("tokens") == 0, F.lit(0.0)).otherwise(F.coalesce(F.exp(F.col("a") + F.lit(mix.b) * _z(F.col("tokens"), mix.centre)), F.lit(0.0)))
     dice = F.pmod(F.xxhash64(F.col("row")[id_col], F.col("row")[text_col], F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -132,4 +132,4 @@ def mix_documents(docs: DataFrame, targets: dict[str, float] | None = None, flat
     """docs, all columns, each row as often as mix_rates says."""
     rated = _rated(docs, targets, flatten, id_col, text_col, source_col).filter("copies > 0")
     many = rated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return many.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return many.select(*shared.fields(docs))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays, labelled
+from tesserae.llm import arrays, labelled, shared
 
 #: Frequent function words of the languages at hand.
 STOPWORDS = (
@@ -241,11 +241,11 @@ def rate(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: fl
     don't matter, whatever their names.
     """
     trees = train(docs, labels, p, id_col, text_col, label_col)
-    content = _has_content(F.col(text_col))
-    rated = docs.select(F.col(id_col).alias(id_col), content.alias("content"), quality(F.col(text_col), trees).alias("quality"))
+    content = _has_content(shared.named(text_col))
+    rated = docs.select(shared.named(id_col).alias(id_col), content.alias("content"), quality(shared.named(text_col), trees).alias("quality"))
     return rated.select(id_col, "quality", F.coalesce(F.col("content") & (F.col("quality") >= threshold), F.lit(False)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs, all columns, that rate() keeps. No join: the rule is applied to the text."""
-    return docs.filter(kept(F.col(text_col), train(docs, labels, p, id_col, text_col, label_col), threshold))
+    return docs.filter(kept(shared.named(text_col), train(docs, labels, p, id_col, text_col, label_col), threshold))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to so many rows of ids (8 bytes each) are broadcast; a longer list is joined by a shuffle.
@@ -66,3 +66,18 @@ def remove(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row(df: DataFrame) -> Column:
+    """All of a row as one struct, so that no column's name can clash with an operator's own."""
+    return F.struct(*(named(c) for c in df.columns))
+
+
+def fields(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of df out of the struct `row`, by name, or what new has for them."""
+    return [new.get(c, F.col("row")[c]).alias(c) for c in df.columns]

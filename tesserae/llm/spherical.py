@@ -167,7 +167,7 @@ def near(points: DataFrame, count: int, threshold: float = THRESHOLD, recall: fl
 
 def _vectors(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of usable vectors: not null, of finite numbers, not all zero."""
-    v = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("id is not null and size(vector) > 1")
+    v = embeddings.select(shared.named(id_col).cast("long").alias("id"), shared.named(vector_col).cast("array<float>").alias("vector")).filter("id is not null and size(vector) > 1")
     fine = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     return v.filter(F.coalesce(fine, F.lit(False)))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays
+from tesserae.llm import arrays, shared
 
 WINDOW, GRAM = 50, 12
 #: The windows of a minimiser of more super-k-mers than this go one by one.
@@ -128,8 +128,8 @@ def _count_bucket(rows: pa.Table, k: int, across: bool) -> pa.RecordBatch:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, text): rows that repeat an id with the same text are one document, h tells others apart."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).filter("id is not null and text is not null")
+    text = shared.named(text_col)
+    return docs.select(shared.named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).filter("id is not null and text is not null")
 
 
 def _digests(column: pa.StringArray, word: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, list[str]]:
@@ -277,11 +277,13 @@ def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int = HOT
     """
     gone = repeated_stretches(docs, k, m, hot, id_col, text_col).filter("removed")
     gone = gone.groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"))
+    keyed = docs.select(shared.row(docs).alias("row"), shared.named(id_col).cast("long").alias("id"), F.xxhash64(shared.named(text_col)).alias("h"))
     joined = keyed.join(gone, ["id", "h"], "left").select("row", (F.col("parts").isNotNull()).alias("changed"), _without(F.col("row")[text_col], F.col("parts")).alias("rest"))
     joined = joined.filter(~F.col("changed") | F.col("rest").rlike(r"[^\t\n\x0B\f\r ]"))
-    new = {text_col: F.col("rest"), chars_col: F.when(F.col("changed"), F.length("rest")).otherwise(F.col("row")[chars_col]).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
-    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    new = {text_col: F.col("rest")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("changed"), F.length("rest")).otherwise(F.col("row")[chars_col]).cast(docs.schema[chars_col].dataType)
+    return joined.select(*shared.fields(docs, **new))
 
 
 #: The same by joining the words of every window to one string.

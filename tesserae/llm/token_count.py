@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays, vocab
+from tesserae.llm import arrays, shared, vocab
 
 
 class Automaton:
@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     white text: zeros. Null ids and repeated rows are kept row by row. Other columns, whatever their
     names, don't matter. An empty table gives an empty result.
     """
-    counted = docs.select(F.col(id_col).alias(id_col), token_counts(F.col(text_col), path).alias("counted"))
+    counted = docs.select(shared.named(id_col).alias(id_col), token_counts(shared.named(text_col), path).alias("counted"))
     return counted.select(id_col, "counted.n_words", "counted.n_tokens")
 
 

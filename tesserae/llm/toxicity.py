@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import arrays, labelled
+from tesserae.llm import arrays, labelled, shared
 
 #: Features are hashed to so many bits.
 BITS = 24
@@ -155,5 +155,5 @@ def detect(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold:
     and nothing is toxic. Other columns don't matter, whatever their names.
     """
     model = fit(labelled.sample(docs, labels, label_col, p.most_labelled, id_col, text_col), p)
-    scored = docs.select(F.col(id_col).alias(id_col), toxicity(F.col(text_col), model).alias("toxicity"))
+    scored = docs.select(shared.named(id_col).alias(id_col), toxicity(shared.named(text_col), model).alias("toxicity"))
     return scored.select(id_col, "toxicity", F.coalesce(F.col("toxicity") > threshold, F.lit(False)).alias("is_toxic"))

@@ -305,7 +305,7 @@ def write_warc(pages: DataFrame, path: str, damage: Damage | None = None, compre
         reach.move(working, name)
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    pages.select(id_col, url_col, html_col).mapInArrow(written, "n long").agg(F.sum("n")).collect()
+    pages.select(shared.named(id_col), shared.named(url_col), shared.named(html_col)).mapInArrow(written, "n long").agg(F.sum("n")).collect()
 
 
 def round_trip(pages: DataFrame, damage: Damage | None = damaged, range_bytes: int = RANGE, compressed: bool = True) -> DataFrame:

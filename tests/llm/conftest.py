@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, row int, words string, high string, label string, band string, parts string, copies string, rate string, packed string, m string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, row int, words string, high string, label string, band string, parts string, copies string, rate string, packed string, m string, `x.y` string, `A b` string, `q``t` string, n string, f string, kept string"
 
 
 def sentence(seed: int, n: int, vocabulary: int = 3000) -> str:
@@ -30,7 +30,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, rows):
-    full = [(i, t, "en", s, None if t is None else len(t), *(["x", "y", 5] + ["z"] * 9)) for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), *(["x", "y", 5] + ["z"] * 15)) for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3).cache()
 
 
