@@ -6,10 +6,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import components, simhash, spherical, substring
+from tesserae.llm import arrays, components, simhash, spherical, substring
 
 
 def groups(n, near):
@@ -59,10 +60,88 @@ def test_simhash_cases(docs, none, rows):
     left = simhash.drop_near_duplicates(docs)
     ids = sorted(str(r.doc_id) for r in left.collect())
     assert left.columns == docs.columns
-    assert ids == sorted(["1", "2", "None", "None", "3", "4", "5", "6", "8", "9", "10", "11"])
+    assert ids == sorted(["1", "2", "None", "None", "3", "4", "5", "6", "8", "8", "9", "10", "11"])
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_id_are_documents(spark):
+    """Whatever the order of rows, another text of an id stays, and goes only as a near copy."""
+    from tests.llm.conftest import sentence
+
+    table = [(1, sentence(1, 90)), (1, sentence(2, 90)), (1, sentence(1, 90) + " z"), (2, sentence(2, 90) + " end"), (2, sentence(3, 90)), (2, sentence(3, 90))]
+    results = []
+    for some in (table, table[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(2)
+        results.append(sorted(map(tuple, simhash.drop_near_duplicates(df).collect())))
+        assert [tuple(r) for r in simhash.near_duplicates(df).collect()] == [(2, 1)]
+    assert results[0] == results[1] and len(results[0]) == 3 and {table[1], table[4]} <= set(results[0]) and {i for i, _ in results[0]} == {1, 2}
+
+
+def test_groups_match_brute_force(sf):
+    """Groups by the definition, over all pairs of documents: bits, lengths and a shared anchor."""
+    docs = sf("documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and any(c.isalnum() for c in r.text)]
+    column = pa.array([t for _, t in rows])
+    row, word = simhash._words(column)
+    high, low, words = simhash.fingerprints(column)
+    fp = np.stack([high, low], axis=1)
+    bounds, found = simhash.anchors(row, word, len(rows))
+    scopes = [set(found[a:z].tolist()) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    for i in (0, 5, 17):  # the least hashes, told by plain Python
+        w = word[row == i]
+        with np.errstate(over="ignore"):
+            three = [int(arrays.mix(np.array([a * np.uint64(0x51ED270B9F652295) + b * np.uint64(0xA24BAED4963EE407) + c]))[0]) for a, b, c in zip(w, w[1:], w[2:], strict=False)]
+        assert scopes[i] == set(sorted(set(three or w.tolist()))[: simhash.ANCHORS])
+    near = (simhash.hamming(fp[:, None], fp[None]) <= simhash.RADIUS) & (4 * np.maximum(words[:, None], words) <= 5 * np.minimum(words[:, None], words))
+    every = [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    equal = lambda a, b: high[a] == high[b] and low[a] == low[b] and words[a] == words[b]
+    pairs = [(a, b) for a, b in every if scopes[a] & scopes[b] or equal(a, b)]
+    assert len(pairs) > 0.98 * len(every)
+    root = groups(len(rows), pairs)
+    ids = [i for i, _ in rows]
+    least = {}
+    for k, r in enumerate(root):
+        least[r] = min(least.get(r, ids[k]), ids[k])
+    got = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {ids[k]: least[r] for k, r in enumerate(root) if ids[k] != least[r]} and got
+
+
+def test_points_meet_few_others(spark):
+    """Of texts without copies no row reaches a search, and near copies meet in their scopes, however many
+    documents there are: rows a point don't grow with the table."""
+    from tests.llm.conftest import sentence
+
+    rates = []
+    for n in (500, 4000):
+        table = [(k, sentence(k // 2, 60, 10**6) + (" and so on" if k % 2 else "")) for k in range(n)]
+        prints = simhash.fingerprint_table(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+        each = prints.select("id", F.explode("anchors").alias("scope"))
+        met = each.join(each.groupBy("scope").count().filter("count > 1"), "scope")
+        rates.append(met.count() / n)
+        assert met.agg(F.max("count")).first()[0] == 2
+        assert simhash.duplicates_of(prints).count() == n // 2
+    assert abs(rates[0] - rates[1]) < 0.2 and rates[0] <= simhash.ANCHORS
+
+
+def test_large_scopes_are_divided(spark):
+    """One scope of many points, over shards and tasks by counted queries, gives what a small one gives."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (40, 2))
+    table = []
+    for k in range(600):
+        a, b = (int(x) for x in base[k % 40])
+        for bit in rng.integers(0, 120, rng.integers(0, 14)):
+            a, b = (a ^ (1 << int(bit)), b) if bit < 60 else (a, b ^ (1 << int(bit - 60)))
+        table.append((k % 2, k, a, b, 100 + k % 30))
+    df = spark.createDataFrame(table, "scope long, rep long, high long, low long, words int").cache()
+    whole = {tuple(r) for r in simhash.near_in_scopes(df, forest=False).collect()}
+    parts = [tuple(r) for r in simhash.near_in_scopes(df, forest=False, shard_points=50, task_queries=40).collect()]
+    assert len(parts) == len(set(parts)) and set(parts) == whole and len(whole) > 1000
+    shards = simhash.plan(df, simhash.RADIUS, 50, 40)
+    sent = simhash.route(df, shards, simhash.RADIUS).groupBy("shard", "task", "query").count().collect()
+    assert max(shards.tasks.values()) > 1 and {(r.shard, r.task) for r in sent if not r.query} >= {(r.shard, r.task) for r in sent if r.query}
+
+
 def test_embeddings_recall_and_groups(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((600, 32))
