@@ -8,9 +8,11 @@ windows are sorted by their words and counted exactly; hashes decide only where
 
 Before any text travels, the super-k-mers of each minimiser are counted as rows of a few numbers. One
 alone with its minimiser can't hold a repeated window (two equal windows of one document lie in two
-super-k-mers), so its text stays where it is. The windows of a minimiser with very many
-super-k-mers go one by one, each to a bucket of its own and as its 128-bit digest instead of its words,
-so that a bucket's memory doesn't follow the most common passage.
+super-k-mers), so its text stays where it is. Of equal strings only the first of each `TOGETHER` bytes
+travels, and in the bucket only the first of all is held: the windows of the others are repeated and none
+is a first one, so that neither a task's memory nor its rows follow the most common passage. The windows
+of a minimiser with very many super-k-mers (whose strings may all differ, as around a common sentence) go
+one by one, each to a bucket of its own and as its 128-bit digest instead of its words.
 """
 
 from __future__ import annotations
@@ -88,12 +90,37 @@ def window_codes(words: np.ndarray, k: int) -> np.ndarray:
 _FOUND = ["id", "h", "start", "stop", "removed"]
 
 
-def _count_bucket(rows: pa.Table, k: int, across: bool) -> pa.RecordBatch:
-    """Repeated stretches of whole minimisers; rows are sorted by minimiser, id, h and place. across:
-    repeated are windows with two different h, and none is a first one."""
+def _stretch_rows(rows: pa.Table, which: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Later occurrences, whole."""
+    ids, h, at = (rows.column(c).to_numpy()[which] for c in ("id", "h", "at"))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(at), pa.array(stop), pa.array(np.ones(len(ids), bool))], _FOUND)
+
+
+def _first_of_equals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (m, id, h, at, packed, many): (the first of each string, whether it is one of several,
+    the others); a row that comes again as it is is neither."""
+    code = rows.column("packed").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    m, ids, h, at = (rows.column(c).to_numpy() for c in ("m", "id", "h", "at"))
+    many = rows.column("many").to_numpy(zero_copy_only=False)
+    order = np.lexsort((at, h, ids, code, m))
+    m, ids, h, at, code = (x[order] for x in (m, ids, h, at, code))
+    new = np.ones(len(order), bool)
+    new[1:] = (m[1:] != m[:-1]) | (code[1:] != code[:-1])
+    other = np.zeros(len(order), bool)
+    other[1:] = ~new[1:] & ((ids[1:] != ids[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
+    begin = np.flatnonzero(new)
+    several = np.logical_or.reduceat(many[order] | other, begin) if len(begin) else many[:0]
+    return order[begin], several, order[other]
+
+
+def _count_bucket(rows: pa.Table, k: int) -> pa.RecordBatch:
+    """Repeated stretches of the distinct strings (m, id, h, at, packed, many) of whole minimisers."""
+    ids, h, at, m = (rows.column(c).to_numpy() for c in ("id", "h", "at", "m"))
+    rows = rows.take(np.lexsort((at, h, ids, m)))
     _, starts, ends, row, first = spans_of_words(packed := arrays.strings(rows.column("packed")))
     data = arrays.buffers(packed)[1]
     m, ids, h, at = (rows.column(c).to_numpy() for c in ("m", "id", "h", "at"))
+    many = rows.column("many").to_numpy(zero_copy_only=False)
     code, _, _ = arrays.distinct(*arrays.cut(data, starts, ends))
     inside = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :]) if k > 1 else np.zeros(0, np.int64)
     window, of = window_codes(code, k)[inside] if len(inside) else inside, row[inside]
@@ -104,18 +131,12 @@ def _count_bucket(rows: pa.Table, k: int, across: bool) -> pa.RecordBatch:
     group = np.cumsum(np.concatenate([[False], m[1:] != m[:-1]]))
     key = group[of] << 32 | window
     order = np.argsort(key, kind="stable")
-    s_key, s_id, s_h, s_place = key[order], ids[of][order], h[of][order], place[order]
-    same = s_key[1:] == s_key[:-1]
-    again = np.concatenate([[False], same & (s_id[1:] == s_id[:-1]) & (s_h[1:] == s_h[:-1]) & (s_place[1:] == s_place[:-1])])
-    order, s_key = order[~again], s_key[~again]
+    s_key = key[order]
     begin = np.flatnonzero(np.concatenate([[True], s_key[1:] != s_key[:-1]])) if len(s_key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(s_key)))
     later = np.ones(len(s_key), bool)
-    later[begin] = across
-    repeated = size > 1
-    if across and len(begin):
-        repeated = np.minimum.reduceat(h[of][order], begin) != np.maximum.reduceat(h[of][order], begin)
-    repeated = np.repeat(repeated, size)
+    later[begin] = False
+    repeated = np.repeat((size > 1) | np.logical_or.reduceat(many[of[order]], begin), size) if len(begin) else later
     hit, later = order[repeated], later[repeated]
     back = np.argsort(hit, kind="stable")
     hit, later = hit[back], later[back]
@@ -144,84 +165,121 @@ def _digests(column: pa.StringArray, word: np.ndarray, m: np.ndarray, k: int) ->
 
 
 def _pack(candidates: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
-    """(m, id, h, at, packed) of the candidates (m, id, h, at, n, hot): super-k-mers as they stand in the
-    text; of a hot one a digest for each window, under a bucket of its own."""
+    """(m, id, h, at, stop, packed, many) of the candidates (m, id, h, at, n, hot): super-k-mers as they
+    stand in the text; of a hot one a digest for each window, under a bucket of its own. Of equal strings that
+    are packed together the first has many set, the others have no string and no m."""
+
+    def parted(s: pa.StringArray, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        data, starts, ends, _, first = spans_of_words(s)
+        lists = rows.column(3)
+        of = np.repeat(np.arange(len(s)), lists.value_lengths().to_numpy())
+        flat = lists.flatten()
+        at, n, m, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(4))
+        ids, h = (rows.column(c).to_numpy()[of] for c in (0, 1))
+        cold = np.flatnonzero(~hot)
+        for b in range(0, len(cold), 20_000):
+            part = cold[b : b + 20_000]
+            word = first[of[part]] + at[part]
+            to, text = arrays.cut(data, starts[word], ends[word + n[part] + k - 2])
+            strings = pa.StringArray.from_buffers(len(to) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(text))
+            begin = at[part].astype(np.int64)
+            yield pa.table([m[part], ids[part], h[part], begin, begin + n[part] + k - 1, strings], names[:-1])
+        if hot.any():
+            part = np.repeat(np.flatnonzero(hot), n[hot])
+            within = np.arange(len(part)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            bucket, digest = _digests(s, first[of[part]] + at[part] + within, m[part], k)
+            begin = (at[part] + within).astype(np.int64)
+            yield pa.table([bucket, ids[part], h[part], begin, begin + k, pa.array(digest, pa.string())], names[:-1])
+
+    def flushed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(held)
+        rows = rows.append_column("many", pa.array(np.zeros(len(rows), bool)))
+        one, several, others = _first_of_equals(rows)
+        firsts, rest = rows.take(one), rows.take(others)
+        yield from firsts.set_column(6, "many", pa.array(several)).combine_chunks().to_batches()
+        # these have only to be put together with the others of their document
+        nothing = [pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.string()), pa.nulls(len(rest), pa.bool_())]
+        yield from pa.table([nothing[0], *(rest.column(c) for c in ("id", "h", "at", "stop")), *nothing[1:]], names).combine_chunks().to_batches()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             done = 0
             for s in arrays.slices(arrays.strings(batch.column(2))):
-                rows = batch.slice(done, len(s))
+                for rows in parted(s, batch.slice(done, len(s))):
+                    held.append(rows)
+                    size += rows.nbytes
                 done += len(s)
-                data, starts, ends, _, first = spans_of_words(s)
-                lists = rows.column(3)
-                of = np.repeat(np.arange(len(s)), lists.value_lengths().to_numpy())
-                flat = lists.flatten()
-                at, n, m, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(4))
-                ids, h = (rows.column(c).to_numpy()[of] for c in (0, 1))
-                cold = np.flatnonzero(~hot)
-                for b in range(0, len(cold), 20_000):
-                    part = cold[b : b + 20_000]
-                    word = first[of[part]] + at[part]
-                    to, text = arrays.cut(data, starts[word], ends[word + n[part] + k - 2])
-                    strings = pa.StringArray.from_buffers(len(to) - 1, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(text))
-                    yield pa.RecordBatch.from_arrays([pa.array(m[part]), pa.array(ids[part]), pa.array(h[part]), pa.array(at[part].astype(np.int64)), strings], names)
-                if hot.any():
-                    part = np.repeat(np.flatnonzero(hot), n[hot])
-                    within = np.arange(len(part)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
-                    bucket, digest = _digests(s, first[of[part]] + at[part] + within, m[part], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[part]), pa.array(h[part]), pa.array((at[part] + within).astype(np.int64)), pa.array(digest, pa.string())], names)
-
-    names = ["m", "id", "h", "at", "packed"]
-    listed = candidates.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "m", "hot")).alias("parts"))
+                if size >= 2 * TOGETHER:
+                    yield from flushed(held)
+                    held, size = [], 0
+        if held:
+            yield from flushed(held)
+
+    names = ["m", "id", "h", "at", "stop", "packed", "many"]
+    listed = candidates.groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "m", "hot")).alias("parts"))
     joined = keyed.join(listed, ["id", "h"]).select("id", "h", "text", "parts")
-    return joined.mapInArrow(packed, "m long, id long, h long, at long, packed string")
+    return joined.mapInArrow(packed, "m long, id long, h long, at long, stop long, packed string, many boolean")
 
 
 def repeated_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, start, stop, removed): maximal stretches of words covered by repeated windows, those of
     first occurrences (by id) and those of later ones apart."""
-    return stretches(_keyed(docs, id_col, text_col).withColumn("scope", F.lit(0).cast("long")), k, m, hot)
+    return stretches(_keyed(docs, id_col, text_col), k, m, hot)
 
 
-def stretches(keyed: DataFrame, k: int, m: int, hot: int, across: bool = False) -> DataFrame:
-    """(id, h, start, stop, removed) for keyed (id, h, text, scope). Windows of different scopes are
-    different. across: repeated are windows of texts with two different h, wherever they stand, and
-    all of them are removed."""
+def stretches(keyed: DataFrame, k: int, m: int, hot: int) -> DataFrame:
+    """(id, h, start, stop, removed) for keyed (id, h, text)."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for s in arrays.slices(arrays.strings(batch.column(2))):
                 row, at, n, least = super_kmers(s, k, m)
-                ids, h, scope = (batch.column(c).to_numpy()[done + row] for c in (0, 1, 3))
+                ids, h = (batch.column(c).to_numpy()[done + row] for c in (0, 1))
                 done += len(s)
-                least = np.where(scope == 0, least, arrays.mix(least ^ scope.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids), pa.array(h), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "id", "h", "at", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        """Rows come by minimiser, string and place; held are the distinct strings of unfinished minimisers."""
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            if sum(b.nbytes for b in held) < TOGETHER:
-                continue
-            rows = pa.Table.from_batches(held)
-            of = rows.column("m").to_numpy()
-            whole = int(np.searchsorted(of, of[-1], "left"))  # the last minimiser may go on
-            if whole:
-                yield _count_bucket(rows.slice(0, whole), k, across)
-                held = rows.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield _count_bucket(pa.Table.from_batches(held), k, across)
-        held.clear()
+            rows = pa.Table.from_batches([batch])
+            told = np.flatnonzero(batch.column(5).is_null().to_numpy(zero_copy_only=False))
+            if len(told):
+                yield _stretch_rows(rows, told, rows.column("stop").to_numpy()[told])
+                rows = rows.filter(rows.column("packed").is_valid())
+                if not len(rows):
+                    continue
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if held is None or rows.nbytes - held.nbytes >= TOGETHER // 4 or rows.nbytes >= TOGETHER:
+                one, several, others = _first_of_equals(rows)
+                yield _stretch_rows(rows, others, rows.column("stop").to_numpy()[others])
+                rows = rows.take(one).set_column(6, "many", pa.array(several))
+            held = rows.combine_chunks()
+            if held.nbytes >= TOGETHER:
+                of = held.column("m").to_numpy()
+                whole = int(np.searchsorted(of, of[-1], "left"))  # the last minimiser may go on
+                if whole:
+                    yield _count_bucket(held.slice(0, whole), k)
+                    held = held.take(np.arange(whole, len(held)))
+        if held is not None:
+            one, several, others = _first_of_equals(held)
+            yield _stretch_rows(held, others, held.column("stop").to_numpy()[others])
+            yield _count_bucket(held.take(one).set_column(6, "many", pa.array(several)), k)
+        held = None
         arrays.release()
 
     places = keyed.mapInArrow(placed, "m long, id long, h long, at int, n int")
-    shared_ones = places.withColumn("times", F.count("*").over(Window.partitionBy("m"))).filter("times > 1")
-    packed = _pack(shared_ones.withColumn("hot", F.col("times") > hot), keyed, k)
-    found = packed.repartition("m").sortWithinPartitions("m", "id", "h", "at").mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
+    # counted before the join, so that a common minimiser's rows are added up where they lie and AQE divides them
+    times = places.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1")
+    candidates = places.join(times.select("m", (F.col("times") > hot).alias("hot")), "m")
+    packed = _pack(candidates, keyed, k)
+    bucket = F.coalesce("m", F.xxhash64("id", "h", "at"))
+    sent = packed.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("m", "packed", "id", "h", "at").drop("bucket")
+    found = sent.mapInArrow(counted, "id long, h long, start long, stop long, removed boolean")
     kind = Window.partitionBy("id", "h", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(kind.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))

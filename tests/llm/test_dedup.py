@@ -246,6 +246,27 @@ def test_substring_matches_brute_force(spark, docs, rows, hot):
     assert got == brute(table, substring.WINDOW) and got
 
 
+@pytest.mark.parametrize("together", [None, 2_000])
+def test_common_passage_and_repeated_rows(spark, monkeypatch, together):
+    """A passage of a third of all documents, whole copies and repeated rows: what travels are first strings."""
+    from tests.llm.conftest import sentence
+
+    if together:
+        monkeypatch.setattr(substring, "TOGETHER", together)
+    passage = sentence(7, 80)
+    table = [(k, sentence(100 + k, 20) + " " + passage + " " + sentence(900 + k, 20)) for k in range(150)] + [(k, sentence(100 + k, 120)) for k in range(150, 300)]
+    table += [(400 + k, sentence(5, 200)) for k in range(40)] + [(500, sentence(6, 90))] * 30
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    for hot in (substring.HOT, 20):
+        assert sorted(map(tuple, substring.find_repeats(df, hot=hot).collect())) == brute(table, substring.WINDOW)
+    keyed = substring._keyed(df, "doc_id", "text")
+    candidates = spark.createDataFrame([(1, k, 0, 20, 31, False) for k in range(150)], "m long, id long, h long, at int, n int, hot boolean")
+    sent = substring._pack(candidates.repartition(2), keyed.withColumn("h", F.lit(0).cast("long")), substring.WINDOW)
+    rows = sent.groupBy(F.col("packed").isNull()).count().collect()
+    if not together:
+        assert dict(map(tuple, rows))[False] <= sent.rdd.getNumPartitions() and sum(r["count"] for r in rows) == 150
+
+
 def test_substring_small_windows(spark):
     rng = random.Random(4)
     table = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))) for i in range(60)]
