@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserae.llm import bpe, html, mixing, quality, simhash, spherical, substring, token_count, toxicity, warc
@@ -24,6 +25,25 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def embedding_near_dedup_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the embeddings and made copies of them, some nearer than the threshold and some not: the
+    smallest tables have no near copies of their own."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = lambda i: (i + F.col("vec_id")).cast("int")
+    uneven = F.transform("embedding", lambda x, i: (x * (1 + F.lit(0.05).cast("float") * (at(i) % 3))).cast("float"))
+    turned = F.transform("embedding", lambda x, i: F.when(at(i) % 4 == 0, -x).otherwise(x))
+    made = [(5, 1_000_000, uneven), (7, 2_000_000, turned), (11, 3_000_000, F.reverse("embedding"))]
+    for every, base, vector in made:
+        e = e.unionByName(read(spark, sf_dir, "embeddings").filter(F.col("vec_id") % every == 0).select((F.col("vec_id") + base).alias("vec_id"), vector.alias("embedding")))
+    return spherical.near_duplicates(e)
+
+
+_MADE = """(SELECT vec_id, embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: (x * (1 + 0.05::FLOAT * ((i - 1 + vec_id) % 3)))::FLOAT) FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL SELECT vec_id + 2000000, list_transform(embedding, lambda x, i: CASE WHEN (i - 1 + vec_id) % 4 = 0 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 7 = 0
+  UNION ALL SELECT vec_id + 3000000, list_reverse(embedding) FROM embeddings WHERE vec_id % 11 = 0)"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate and the copies of every document."""
     return mixing.mix_rates(read(spark, sf_dir, "documents"))
@@ -66,6 +86,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "embedding_near_dedup_with_copies": embedding_near_dedup_with_copies,
     "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
@@ -77,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": spherical.ORACLE, "op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": spherical.oracle("embeddings"), "embedding_near_dedup_with_copies": spherical.oracle(_MADE), "op7_substring_dedup": substring.ORACLE, "op10_token_counts": token_count.ORACLE}

@@ -6,10 +6,18 @@ vectors, one for each half of the coordinates, so n^2 filters cost 2n inner prod
 list is decoded from the two short lists of codewords that can still reach the threshold together.
 Vectors are first turned by one random rotation, so that the halves share a vector's energy evenly however
 uneven it is over the coordinates (sparse or zero-padded vectors, coordinates in order of variance).
-The number of filters grows with the number of vectors and the threshold with it, so that a vector
-stands in a few dozen filters and a filter holds a bounded number of vectors at any size; it is set so
-that pairs at the threshold share a filter with a probability of `RECALL`. Vectors that
-share a filter are verified by their true cosine, blockwise; no list is cut.
+The number of filters grows with the number of vectors and the threshold with it, so that a random vector
+stands in a few dozen filters (33 of 64 numbers at 50,000 vectors, 45 at a million, 71 at a hundred million)
+and a filter holds a bounded number of random vectors; it is set so that pairs at the threshold share a filter with
+a probability of `RECALL`.
+
+* Filters travel together by their first codeword, a vector once for all of a group (a third of the
+  filters), as one byte a number with the exact length of what rounding lost. That bounds the cosine of a pair from
+  both sides: most pairs are decided by it, the few between the bounds are decided by their vectors.
+* A group of more than `TASK_ROWS` rows, as near copies make it, is divided into blocks, and each pair of blocks
+  is a task, so a task's memory is bounded; no list is cut.
+* In a filter with many near copies of one vector they are linked to it first and then compared with the others
+  only, so that the work grows with the copies, not with their pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +28,11 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm import components, shared
+from tesserae.llm import arrays, components, shared
 
 THRESHOLD = 0.95
 #: Probability that a pair at the threshold shares a filter, for which the caps are set, and the
@@ -33,10 +40,10 @@ THRESHOLD = 0.95
 RECALL, TRIED = 0.98, 2000
 #: There are as many filters as vectors, divided by this.
 VECTORS_A_FILTER = 16
-#: Beyond so many expected filters for a vector, bisection goes to a higher cap without trying.
-MOST_LISTED = 2000
-#: (filter, vector) rows of one task that verifies.
+#: Vectors of one task that verifies.
 TASK_ROWS = 100_000
+#: A vector that so many of a filter are near to, at least, is linked to them before pairs are compared.
+CORE = 64
 SEED = 20240611
 
 
@@ -96,11 +103,10 @@ def cap(d: int, n: int, threshold: float, recall: float = RECALL) -> float:
     low, high = 0.0, 2.0
     for _ in range(12):
         middle = (low + high) / 2
-        if _listed(d, n, middle) > MOST_LISTED:
-            low = middle
-            continue
-        (a, f), (b, g) = decode(x, n, middle), decode(y, n, middle)
-        found = len(np.unique(a[np.isin(a * (n * n) + f, b * (n * n) + g)])) / TRIED
+        found = 0
+        for k in range(0, TRIED, step := max(1, min(TRIED, int(4e6 / (1 + _listed(d, n, middle)))))):
+            (a, f), (b, g) = decode(x[k : k + step], n, middle), decode(y[k : k + step], n, middle)
+            found += len(np.unique(a[np.isin(a * (n * n) + f, b * (n * n) + g)])) / TRIED
         low, high = (middle, high) if found >= recall else (low, middle)
     return low
 
@@ -110,8 +116,19 @@ def _listed(d: int, n: int, least: float) -> float:
     return n * n * (1 - NormalDist().cdf(least / math.sqrt(2 / d)))
 
 
-def _filtered(points: DataFrame, n: int, caps: dict[int, float]) -> DataFrame:
-    """(filter, d, rep, vector) of every point (rep, vector) for every filter it reaches."""
+def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, scale, length of what is lost) of rows."""
+    scale = np.abs(x).max(axis=1) / 127
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    lost = np.linalg.norm(x.astype(np.float64) - q * scale[:, None].astype(np.float64), axis=1)
+    return q, scale.astype(np.float32), (lost + 1e-6).astype(np.float32)
+
+
+def _filtered(points: DataFrame, n: int, caps: dict[int, float], parts: int, blocks: dict[int, int], bare: bool = False) -> DataFrame:
+    """(group, pair, block, d, rep, codes, vector, scale, lost) of every point (rep, vector) for every group of
+    filters in which it is listed. A group in blocks has a number of blocks; its rows come for each pair of
+    blocks that they belong to. bare: the groups only."""
+    fields = ["group", "pair", "block", "d", "rep", "codes", "vector", "scale", "lost"]
 
     def listed_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,45 +141,156 @@ def _filtered(points: DataFrame, n: int, caps: dict[int, float]) -> DataFrame:
                     some = rows[k : k + 1024]
                     x = _unit(flat[offsets[some][:, None] + np.arange(d)])
                     row, to = decode(x @ rotation(int(d)), n, caps[int(d)])
-                    raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(len(row) + 1, dtype=np.int32) * np.int32(4 * d)), pa.py_buffer(np.ascontiguousarray(x[row]))])
-                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(row), d, np.int32)), pa.array(rep[some[row]]), raw], ["filter", "d", "rep", "vector"])
-
-    return points.mapInArrow(listed_by, "filter long, d int, rep long, vector binary")
-
-
-def near(points: DataFrame, count: int, threshold: float = THRESHOLD, recall: float = RECALL, forest: bool = True) -> DataFrame:
+                    group = (int(d) * n + to // n) * parts + to % n * parts // n
+                    order = np.lexsort((to, group, row))
+                    row, group, to = row[order], group[order], to[order]
+                    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])]))
+                    bounds, of, group = np.append(begin, len(row)), row[begin], group[begin]
+                    if bare:
+                        yield pa.RecordBatch.from_arrays([pa.array(group)], fields[:1])
+                        continue
+                    # rows of groups in blocks again for each other block
+                    many = np.array([blocks.get(g, 1) for g in group.tolist()])
+                    which = np.repeat(np.arange(len(group)), many)
+                    other = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                    mine = arrays.mix(rep[some[of]].astype(np.uint64)) % many.astype(np.uint64)
+                    mine = mine.astype(np.int64)[which]
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    codes, to_codes = arrays.gather_ragged((to % n).astype(np.int32), bounds, which)
+                    q, scale, lost = _rounded(x)
+                    of = of[which]
+                    raw = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(len(of) + 1, dtype=np.int32) * np.int32(d)), pa.py_buffer(np.ascontiguousarray(q[of]))])
+                    kinds = (group[which], low * many[which] + high, mine, np.full(len(of), d, np.int32), rep[some[of]])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in kinds), pa.ListArray.from_arrays(pa.array(to_codes.astype(np.int32)), pa.array(codes)), raw, pa.array(scale[of]), pa.array(lost[of])], fields)
+
+    if bare:
+        return points.mapInArrow(listed_by, "group long")
+    return points.mapInArrow(listed_by, "group long, pair long, block long, d int, rep long, codes array<int>, vector binary, scale float, lost float")
+
+
+class _Verifier:
+    """Links between the rows x (unit vectors within lost of the true ones)."""
+
+    def __init__(self, x: np.ndarray, lost: np.ndarray, threshold: float, forest: bool) -> None:
+        self.x, self.lost, self.threshold, self.forest = x, lost.astype(np.float32), threshold, forest
+        self.union = components.Forest(len(x))
+        self.sure: list[tuple[np.ndarray, np.ndarray]] = []
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(self, a: np.ndarray, b: np.ndarray, itself: bool) -> None:
+        """All pairs of rows a with rows b; itself: b is a, and each pair comes once."""
+        for k in range(0, len(a), 512):
+            p, q = a[k : k + 512], b[k:] if itself else b
+            near = self.x[p] @ self.x[q].T
+            slack = self.lost[p][:, None] * (1 + self.lost[q])[None] + self.lost[q][None]
+            i, j = np.nonzero(near + slack >= self.threshold)
+            if itself:
+                i, j = i[i < j], j[i < j]
+            sure = near[i, j] - slack[i, j] >= self.threshold
+            self._found(p[i[sure]], q[j[sure]], True)
+            self._found(p[i[~sure]], q[j[~sure]], False)
+
+    def _found(self, a: np.ndarray, b: np.ndarray, sure: bool) -> None:
+        if not len(a):
+            return
+        if self.forest and sure:
+            self.union.add(a, b)
+        elif self.forest:
+            apart = self.union.label[a] != self.union.label[b]
+            self.open.append((a[apart], b[apart]))
+        else:
+            (self.sure if sure else self.open).append((a, b))
+
+    def within(self, rows: np.ndarray, block: np.ndarray) -> None:
+        """The pairs of a filter's rows: of one block, or between two."""
+        groups = [np.flatnonzero(block == v) for v in np.unique(block)]
+        if len(groups) == 2:
+            cores, rest = self._cores(rows)
+            sides = [(rows[g], [np.intersect1d(c, rows[g]) for c in cores], np.intersect1d(rest, rows[g])) for g in groups]
+            (one, cores_one, rest_one), (two, _, rest_two) = sides
+            self.compare(rest_one, two, False)
+            self.compare(np.setdiff1d(one, rest_one), rest_two, False)
+            for k, c in enumerate(cores):
+                for other in cores[k + 1 :]:
+                    self.compare(np.intersect1d(c, one), np.intersect1d(other, two), False)
+                    self.compare(np.intersect1d(other, one), np.intersect1d(c, two), False)
+            return
+        cores, rest = self._cores(rows)
+        self.compare(rest, rest, True)
+        for k, c in enumerate(cores):
+            self.compare(rest, c, False)
+            for other in cores[k + 1 :]:
+                self.compare(c, other, False)
+
+    def _cores(self, rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(groups of rows that are all linked to one of theirs, the other rows)."""
+        cores: list[np.ndarray] = []
+        while self.forest and len(rows) > 4 * CORE:
+            leaders = rows[:: len(rows) // 8][:8]
+            near = self.x[leaders] @ self.x[rows].T - self.lost[leaders][:, None] * (1 + self.lost[rows])[None] - self.lost[rows][None] >= self.threshold
+            best = int(near.sum(axis=1).argmax())
+            if near[best].sum() < max(CORE, len(rows) // 16):
+                break
+            cores.append(rows[near[best]])
+            self.union.add(np.full(len(cores[-1]), leaders[best]), cores[-1])
+            rows = rows[~near[best]]
+        return cores, rows
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, row, whether that is sure)."""
+        if self.forest:
+            child = np.flatnonzero(self.union.label != np.arange(len(self.x)))
+            self.sure = [(self.union.label[child], child)]
+        parts = [(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for found in (self.sure, self.open) for k in (0, 1)]
+        a, b, c, e = parts
+        if self.forest and len(c):
+            apart = self.union.label[c] != self.union.label[e]
+            c, e = c[apart], e[apart]
+        return np.concatenate([a, c]), np.concatenate([b, e]), np.arange(len(a) + len(c)) < len(a)
+
+
+def near(points: DataFrame, count: int, threshold: float = THRESHOLD, recall: float = RECALL, forest: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
     """(u, v) of points (rep, vector) that share a filter and whose cosine is at least the threshold:
     a forest with the same connections, or every pair (u < v)."""
     n = code_size(count)
     caps = {r.d: cap(r.d, n, threshold, recall) for r in points.select(F.size("vector").alias("d")).distinct().collect()}
-    tasks = max(1, math.ceil(count * max([1.0, *(_listed(d, n, c) for d, c in caps.items())]) / TASK_ROWS))
-
-    def verified(rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for d, part in rows.groupby("d"):
-            part = part.sort_values(["filter", "rep"])
-            rep, of = part["rep"].to_numpy(), part["filter"].to_numpy()
-            names, rep = np.unique(rep, return_inverse=True)
-            x = np.frombuffer(b"".join(part["vector"]), np.float32).reshape(-1, int(d))
-            union = components.Forest(len(names))
-            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            for s, e in zip(begin, np.append(begin[1:], len(of)), strict=True):
-                for k in range(s, e, 1024):
-                    a, b = np.nonzero(x[k : min(k + 1024, e)] @ x[k:e].T >= threshold)
-                    later = a < b
-                    a, b = rep[k + a[later]], rep[k + b[later]]
-                    if forest:
-                        union.add(a, b)
-                    else:
-                        found.append((names[np.minimum(a, b)], names[np.maximum(a, b)]))
-            if forest:
-                child = np.flatnonzero(union.label != np.arange(len(names)))
-                found.append((names[union.label[child]], names[child]))
-        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"u": u, "v": v})
-
-    listed_rows = _filtered(points, n, caps).withColumn("task", F.pmod(F.xxhash64("filter", "d"), F.lit(tasks)))
-    return listed_rows.groupBy("task").applyInPandas(verified, "u long, v long").distinct()
+    rows = count * max([1.0, *(_listed(d, n, c) for d, c in caps.items())])
+    # a group of filters is a codeword's, or a part of it where random vectors alone would be too many
+    parts = max(1, min(n, math.ceil(rows / n / task_rows)))
+    large = _filtered(points, n, caps, parts, {}, bare=True).groupBy("group").agg(F.count("*").alias("rows")).filter(F.col("rows") > task_rows)
+    blocks = {r.group: math.ceil(2 * r.rows / task_rows) for r in large.collect()}  # of all rows, at most one in task_rows
+    tasks = max(1, math.ceil((rows + sum(b * b for b in blocks.values()) * task_rows / 2) / task_rows))
+
+    def verified(table: pa.Table) -> pa.Table:
+        out = []
+        for d in np.unique(table.column("d").to_numpy()):
+            some = table.filter(pa.array(table.column("d").to_numpy() == d)).combine_chunks()
+            names, first, at = np.unique(some.column("rep").to_numpy(), return_index=True, return_inverse=True)
+            x = np.frombuffer(b"".join(some.column("vector").take(first).to_pylist()), np.int8).reshape(-1, int(d)).astype(np.float32)
+            x *= some.column("scale").to_numpy()[first][:, None]
+            v = _Verifier(x, some.column("lost").to_numpy()[first], threshold, forest)
+            lists = some.column("codes").combine_chunks()
+            of = np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy())
+            code = lists.flatten().to_numpy()
+            group, pair, block = (some.column(c).to_numpy()[of] for c in ("group", "pair", "block"))
+            order = np.lexsort((at[of], code, pair, group))
+            group, pair, code, block, row = group[order], pair[order], code[order], block[order], at[of][order]
+            begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (pair[1:] != pair[:-1]) | (code[1:] != code[:-1])]))
+            for s, e in zip(begin, np.append(begin[1:], len(row)), strict=True):
+                b = blocks.get(int(group[s]), 1)
+                if e - s > 1 and (pair[s] // b == pair[s] % b or block[s:e].min() != block[s:e].max()):  # two blocks, of which one has no rows, have no pairs
+                    v.within(row[s:e], block[s:e])
+            a, b, sure = v.result()
+            out.append(pa.table([names[np.minimum(a, b)], names[np.maximum(a, b)], sure], ["u", "v", "sure"]).group_by(["u", "v", "sure"]).aggregate([]))
+        arrays.release()
+        return pa.concat_tables(out).select(["u", "v", "sure"])
+
+    listed_rows = _filtered(points, n, caps, parts, blocks).withColumn("task", F.pmod(F.xxhash64("group", "pair"), F.lit(tasks)))
+    found = shared.cut(listed_rows.groupBy("task").applyInArrow(verified, "u long, v long, sure boolean").distinct())
+    open_ones = found.filter("not sure").select("u", "v").join(points.select(F.col("rep").alias("u"), F.col("vector").alias("a")), "u").join(points.select(F.col("rep").alias("v"), F.col("vector").alias("b")), "v")
+    times = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, z: t + z)
+    cosine = times("a", "b") / F.sqrt(times("a", "a") * times("b", "b"))
+    return found.filter("sure").select("u", "v").unionByName(open_ones.filter(cosine >= threshold).select("u", "v")).distinct()
 
 
 def _vectors(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -192,8 +320,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     return kept.filter("id <> kept").groupBy("id").agg(F.min("kept").alias("kept")).select(F.col("id").alias(id_col), F.col("kept").alias(f"kept_{id_col}"))
 
 
-#: The same from all pairs.
-ORACLE = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 1),
+def oracle(table: str) -> str:
+    """The same from all pairs."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding FROM {table} WHERE vec_id IS NOT NULL AND len(embedding) > 1),
 near AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding) AND list_cosine_similarity(a.embedding, b.embedding) >= {THRESHOLD}),
 reached AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT near.v, reached.root FROM reached JOIN near ON near.u = reached.vec_id WHERE reached.root < near.v)
 SELECT vec_id, min(root) AS kept_vec_id FROM reached GROUP BY vec_id HAVING min(root) <> vec_id"""

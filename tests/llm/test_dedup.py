@@ -161,6 +161,46 @@ def test_embeddings_recall_and_groups(spark):
     assert np.mean([found.get(k) == v for k, v in grouped.items()]) > 0.93
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.028])
+def test_many_near_copies_and_blocks(spark, noise):
+    """A third of the vectors are near copies of one, some of them with cosines around the threshold; groups in
+    blocks give what whole ones give, and no pair is decided by rounded numbers."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 48)) / np.sqrt(48)
+    x[:400] = x[0] + noise * rng.standard_normal((400, 48))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, vector array<float>").repartition(3).cache()
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    true = y @ y.T >= spherical.THRESHOLD
+    whole = {tuple(r) for r in spherical.near(df, 1200, forest=False).collect()}
+    parts = {tuple(r) for r in spherical.near(df, 1200, forest=False, task_rows=60).collect()}
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(true, 1)), strict=True)}
+    assert whole == parts and whole <= want and len(whole) > 0.97 * len(want) and want
+    for task_rows in (spherical.TASK_ROWS, 60):
+        forest = [tuple(r) for r in spherical.near(df, 1200, task_rows=task_rows).collect()]
+        assert groups(1200, forest) == groups(1200, whole)
+    assert len(spherical.near(df, 1200).collect()) < 2 * 400
+
+
+def test_dense_filters_cost_their_copies():
+    """What is compared grows with the copies, not with their pairs."""
+    rng = np.random.default_rng(10)
+    compared = []
+    for n in (2_000, 8_000):
+        x = spherical._unit(rng.standard_normal(32) + 0.02 * rng.standard_normal((n, 32)))
+        x[::10] = spherical._unit(rng.standard_normal((n // 10, 32)))[:]
+        x[200:] = np.where((np.arange(200, n) % 10 == 0)[:, None], x[1], x[200:])
+        v = spherical._Verifier(x, np.full(n, 1e-4), 0.95, True)
+        count = [0]
+        plain = v.compare
+        v.compare = lambda a, b, itself: (count.__setitem__(0, count[0] + len(a) * len(b)), plain(a, b, itself))
+        v.within(np.arange(n), np.zeros(n, np.int64))
+        compared.append(count[0] / n)
+        assert len(np.unique(v.union.label)) == 1 + 20
+    assert compared[1] < 1.5 * compared[0]
+
+
 @pytest.mark.parametrize("vectors", [2_000, 300_000])
 def test_caps_keep_recall_at_the_threshold(vectors):
     rng = np.random.default_rng(5)
