@@ -8,7 +8,9 @@ each a point update along one path, until the root says that no pair can be merg
 bytes so takes O(n log n), however long it is.
 
 The trees of all distinct pre-tokens of a slice with about the same length stand side by side in one
-array and take their merges in step, so that the work is numpy's throughout.
+array and take their merges in step, so that the work is numpy's throughout. A very long pre-token has a
+tree of its own, in which the leftmost merges of the root's rank are found by one descent and made
+together as long as none of them brings a pair that would come before the next.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tesserae.llm import arrays, shared, vocab
 
 _NONE = np.int64(1) << np.int64(62)
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+#: Pre-tokens of more bytes have a tree of their own.
+LONG = 2048
 
 
 @lru_cache(maxsize=1)
@@ -136,6 +140,51 @@ class Encoder:
             w = w[tree[1, w] < _NONE]
         return alive.sum(axis=0), token[:leaves].T[alive.T]
 
+    def _alone(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one long word."""
+        n = len(data)
+        leaves = 1 << (n - 1).bit_length()
+        token = np.append(self.single[data], 0)
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+        tree = np.full(2 * leaves, _NONE, np.int64)
+        tree[leaves : leaves + n - 1] = self._keys(token[: n - 1], token[1:n], np.arange(n - 1))
+        half = leaves
+        while half > 1:
+            np.minimum(tree[half : 2 * half : 2], tree[half + 1 : 2 * half : 2], out=tree[half // 2 : half])
+            half //= 2
+        while tree[1] < _NONE:
+            rank = tree[1] >> 32
+            nodes = np.ones(1, np.int64)
+            while nodes[0] < leaves:
+                nodes = np.stack([2 * nodes, 2 * nodes + 1], axis=1).ravel()
+                nodes = nodes[tree[nodes] >> 32 == rank]
+            at = nodes - leaves
+            # of overlapping pairs (a run of one token) every other one, from the left
+            run = np.flatnonzero(np.concatenate([[True], at[1:] != after[at[:-1]]]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            gone = after[at]
+            then, prior = after[gone], before[at]
+            joined = np.concatenate([[False], prior[1:] == gone[:-1]])
+            right = np.where(then < n, self.pairs.get(np.full(len(at), rank), token[np.minimum(then, n)]), -1)
+            left = np.where(prior >= 0, self.pairs.get(np.where(joined, rank, token[prior]), np.full(len(at), rank)), -1)
+            first = ((right >= 0) & (right <= rank)) | ((left >= 0) & (left <= rank))  # a pair that comes before the next merge
+            if first.any():
+                most = int(np.argmax(first)) + 1
+                at, gone, then = at[:most], gone[:most], then[:most]
+            token[at], alive[gone] = rank, False
+            after[at] = then
+            before[np.minimum(then, n)] = at
+            where = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            follows = after[where]
+            tree[leaves + gone] = _NONE
+            tree[leaves + where] = np.where(follows < n, self._keys(token[where], token[np.minimum(follows, n)], where), _NONE)
+            nodes = np.unique(np.concatenate([gone, where]) + leaves >> 1)
+            while nodes[0]:
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+                nodes = nodes >> 1
+                nodes = nodes[np.concatenate([[True], nodes[1:] != nodes[:-1]])]
+        return token[:n][alive]
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids) of the strings data[offsets[i]:offsets[i + 1]]."""
         size, begin = offsets[1:] - offsets[:-1], offsets[:-1]
@@ -144,6 +193,12 @@ class Encoder:
         for g in np.unique(group[size > 0]):
             leaves = 1 << int(g)
             members = np.flatnonzero((group == g) & (size > 0))
+            if leaves > LONG:
+                for m in members:
+                    ids = self._alone(data[begin[m] : begin[m] + size[m]])
+                    count[m] = len(ids)
+                    parts.append((np.array([m]), ids))
+                continue
             most = max(1, (1 << 19) // (2 * leaves))
             for k in range(0, len(members), most):
                 m = members[k : k + most]

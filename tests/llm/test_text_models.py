@@ -56,6 +56,19 @@ def test_bpe_of_awkward_pieces(reference):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_of_very_long_pieces(reference):
+    """One tree for a piece, and many merges of one rank together, are what single merges are."""
+    rng = np.random.default_rng(0)
+    pieces = ["x" * 300_000, "ab" * 20_000 + "a" * 4_999, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60_000)), "".join(rng.choice(list("aeinrst"), 40_000)), "=" * 9_000, "你好吗" * 5_000, "the" * 3_000 + "q"]
+    encoder = bpe.encoder(vocab.BYTE_BPE)
+    for text in pieces:
+        bounds, ids = encoder.encode_texts(pa.array([text]))
+        assert ids.tolist() == reference.encode_ordinary(text)
+    for k in range(300):  # the same words by both ways
+        raw = np.frombuffer("".join(rng.choice(list("abeinort"), rng.integers(2, 60))).encode(), np.uint8)
+        assert encoder._alone(raw).tolist() == encoder.encode(np.array([0, len(raw)]), raw)[1].tolist()
+
+
 def test_bpe_whole_table(spark, sf, reference):
     for r in bpe.encode_documents(sf("documents")).join(sf("documents").select("doc_id", "text"), "doc_id").collect():
         assert r.token_ids == reference.encode_ordinary(r.text) and r.round_trip
