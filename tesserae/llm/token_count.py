@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from tesserae.llm import arrays, shared, vocab
 
+#: So few words are read byte by byte.
+FEW = 32
+
 
 class Automaton:
     """Counts the greedy longest-match pieces of many words at once."""
@@ -68,6 +71,17 @@ class Automaton:
         byte = np.array([b for p in range(n) for b in goto[p]], np.int64)
         child = np.array([c for p in range(n) for c in goto[p].values()], np.int32)
         self.step, self.fail, self.popped = vocab.Pairs(parents, byte, child), fail, popped
+        self.goto, self.scalars = goto, list(zip(fail.tolist(), popped.tolist(), strict=True))
+
+    def _rest(self, at: int, raw: bytes) -> tuple[int, int]:
+        """(state, pieces popped) after reading raw from a state on."""
+        goto, scalars, count = self.goto, self.scalars, 0
+        for b in raw:
+            while (to := goto[at].get(b)) is None:
+                at, popped = scalars[at]
+                count += popped
+            at = to
+        return at, count
 
     def counts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Pieces of each word data[offsets[i]:offsets[i + 1]]."""
@@ -77,6 +91,11 @@ class Automaton:
         state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for k in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -k, "left"))  # longest first: those with more than k bytes
+            if live <= FEW:  # a step of arrays would cost more than the bytes one by one
+                for w in range(live):
+                    state[w], more = self._rest(int(state[w]), data[begin[w] + k : begin[w] + lengths[w]].tobytes())
+                    count[w] += more
+                break
             read = data[begin[:live] + k].astype(np.int64)
             to = self.step.get(state[:live], read)
             stuck = np.flatnonzero(to < 0)

@@ -40,6 +40,19 @@ def test_token_counts_match_greedy_matching(docs, rows, none):
     assert token_count.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_very_long_words():
+    import time
+
+    rng = np.random.default_rng(1)
+    entries = set(vocab.ranks(vocab.BYTE_BPE))
+    texts = ["".join(rng.choice(list("aeinrst"), 20_000)), "x" * 1_000_000, "=" * 5_000 + " a", "你好" * 3_000]
+    auto = token_count.automaton(vocab.BYTE_BPE)
+    began = time.time()
+    words, pieces = token_count.count_slice(pa.array(texts), auto)
+    assert time.time() - began < 5 and words.tolist() == [1, 1, 2, 1]
+    assert pieces.tolist() == [greedy(t, entries, max(map(len, entries))) for t in texts]
+
+
 def test_bpe_matches_another_encoder_and_round_trips(docs, rows, none, reference):
     got = bpe.encode_documents(docs).collect()
     want = {t: reference.encode_ordinary(t) for _, t, _ in rows if t is not None}
