@@ -45,6 +45,6 @@ def words(block: Column) -> Column:
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Jaccard of two token arrays; two empty sets are equal (1.0)."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
+    """Jaccard of two arrays of distinct tokens; two empty sets are equal (1.0)."""
+    both = F.size(F.array_intersect(left, right))
+    return F.when(F.size(left) + F.size(right) == 0, F.lit(1.0)).otherwise(both / (F.size(left) + F.size(right) - both))

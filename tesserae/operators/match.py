@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import distance
+
+
+def tagged(template: DataFrame, destination: DataFrame) -> DataFrame:
+    """Both sides as one table, with side 0 for the template's rows and 1 for the destination's."""
+    return template.withColumn("side", F.lit(0)).unionByName(destination.withColumn("side", F.lit(1)))
+
+
+def _of_side(side: int, column: str) -> Column:
+    return F.when(F.col("side") == side, F.col(column))
 
-def ranked(df: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
-    """Numbers the repeats of each key, so that an equi-join pairs the k-th with the k-th."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col)))
+
+def _numbered(blocks: DataFrame, pair: str) -> DataFrame:
+    """Blocks (pair, side, index, normalized) with k, which numbers a side's repeats of a block. One shuffle, on
+    the pair; what follows on the pair, or on the pair and more, needs none."""
+    order = Window.partitionBy(pair, "normalized", "side").orderBy("index")
+    # the number is said, for AQE would put few bytes into one task, and distances are much work a byte
+    spark = blocks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return blocks.repartition(parts, pair).withColumn("k", F.row_number().over(order))
+
+
+def match_tagged_exact(blocks: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """match_text_blocks_exact for both sides in one table (pair, side, index, normalized)."""
+    found = _numbered(blocks, pair).groupBy(pair, "normalized", "k").agg(F.min(_of_side(0, "index")).alias("template_index"), F.min(_of_side(1, "index")).alias("destination_index"))
+    status = F.when(F.col("destination_index").isNull(), "unmatched_template").when(F.col("template_index").isNull(), "unmatched_destination").otherwise("matched")
+    return found.select(pair, status.alias("status"), "template_index", "destination_index", "normalized")
 
 
 def match_text_blocks_exact(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -16,31 +42,30 @@ def match_text_blocks_exact(template: DataFrame, destination: DataFrame, pair: s
 
     Both sides have (pair, index, normalized). Returns (pair, status, template_index,
     destination_index, normalized) with status matched, unmatched_template or
-    unmatched_destination. One shuffle per side on (pair, normalized) serves the ranking and the join.
+    unmatched_destination. No join: equal blocks of both sides are grouped by their number.
     """
-    keys = [pair, "normalized"]
-    t = ranked(template, keys, "index").withColumnRenamed("index", "template_index")
-    d = ranked(destination, keys, "index").withColumnRenamed("index", "destination_index")
-    status = (
-        F.when(F.col("destination_index").isNull(), "unmatched_template")
-        .when(F.col("template_index").isNull(), "unmatched_destination")
-        .otherwise("matched")
-    )
-    return t.join(d, [*keys, "occurrence"], "full").select(pair, status.alias("status"), "template_index", "destination_index", "normalized")
+    return match_tagged_exact(tagged(*(df.select(pair, "index", "normalized") for df in (template, destination))), pair)
 
 
 def match_owners(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
     """(pair, status, path, ord): owners (pair, ord, path) of both sides matched by path. Repeats stay and
-    ord keeps each side's order. One semi and two anti joins over the same keys."""
-    keys = [pair, "path"]
-    tell = lambda df, status: df.select(pair, F.lit(status).alias("status"), "path", "ord")
-    matched = tell(template.join(destination, keys, "left_semi"), "matched")
-    alone = tell(template.join(destination, keys, "left_anti"), "unmatched_template")
-    return matched.unionByName(alone).unionByName(tell(destination.join(template, keys, "left_anti"), "unmatched_destination"))
+    ord keeps each side's order."""
+    return match_tagged_owners(tagged(*(df.select(pair, "ord", "path") for df in (template, destination))), pair)
+
+
+def match_tagged_owners(owners: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """match_owners for both sides in one table (pair, side, ord, path): one shuffle, and one row of a
+    window tells whether the other side has the path."""
+    here = Window.partitionBy(pair, "path")
+    told = owners.withColumn("both", F.min("side").over(here) < F.max("side").over(here)).filter((F.col("side") == 0) | ~F.col("both"))
+    status = F.when(F.col("both"), "matched").when(F.col("side") == 0, "unmatched_template").otherwise("unmatched_destination")
+    return told.select(pair, status.alias("status"), "path", "ord")
 
 
 #: Weights of content, length and position, and the least score of a refined match.
 WEIGHTS, THRESHOLD = (0.7, 0.15, 0.15), 0.7
+#: Distances of blocks of more characters are Python's, by bits; shorter ones are the JVM's, by cells.
+LONG = 1000
 
 
 def refined_scores(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -61,7 +86,9 @@ def refined_scores(template: DataFrame, destination: DataFrame, pair: str = "pai
     rows = rows.filter((WEIGHTS[0] + WEIGHTS[1]) * F.col("size") + WEIGHTS[2] * F.col("position") >= THRESHOLD - 1e-9)
     needed = (F.lit(THRESHOLD) - WEIGHTS[1] * F.col("size") - WEIGHTS[2] * F.col("position")) / WEIGHTS[0]
     rows = rows.withColumn("most", F.ceil((1 - F.greatest(needed, F.lit(0.0))) * F.col("longest") + 1e-6).cast("int"))
-    rows = rows.withColumn("distance", F.expr("CASE WHEN t = d THEN 0 ELSE levenshtein(t, d, most) END")).filter("distance >= 0")
+    long = F.col("longest") > LONG
+    rows = rows.withColumn("of_long", distance.long_distance(F.when(long, F.col("t")), F.when(long, F.col("d")), F.col("most")))
+    rows = rows.withColumn("distance", F.when(long, F.col("of_long")).otherwise(F.expr("CASE WHEN t = d THEN 0 ELSE levenshtein(t, d, most) END"))).filter("distance >= 0")
     content = F.when(F.col("distance") == 0, 1.0).otherwise(1.0 - F.col("distance") / F.col("longest"))
     score = WEIGHTS[0] * content + WEIGHTS[1] * F.col("size") + WEIGHTS[2] * F.col("position")
     return rows.withColumn("score", score).filter(F.col("score") >= THRESHOLD).select(pair, "template_index", "destination_index", "score")
@@ -71,23 +98,52 @@ def match_text_blocks(template: DataFrame, destination: DataFrame, pair: str = "
     """(pair, phase, template_index, destination_index, score): exact matches, then refined ones among what
     is left (pair, index, normalized, total): in the destination's order each block takes the best
     scoring free template block, the first of equals. Blocks without a match have phase null."""
-    exact = match_text_blocks_exact(template, destination, pair)
-    left = lambda side, status, index: side.join(exact.filter(F.col("status") == status).select(pair, F.col(index).alias("index")), [pair, "index"])
-    scored = refined_scores(left(template, "unmatched_template", "template_index"), left(destination, "unmatched_destination", "destination_index"), pair)
-    listed = scored.groupBy(pair).agg(F.array_sort(F.collect_list(F.struct("destination_index", (-F.col("score")).alias("worse"), "template_index"))).alias("ways"))
-    zero = F.struct(F.array().cast("array<int>").alias("t"), F.array().cast("array<int>").alias("d"), F.array().cast("array<struct<template_index:int,destination_index:int,score:double>>").alias("out"))
+    return match_tagged(tagged(*(df.select(pair, "index", "normalized", "total") for df in (template, destination))), pair)
+
+
+_WAY = "struct<template_index:int,destination_index:int,score:double>"
 
-    def take(acc, way):
-        free = ~F.array_contains(acc["t"], way["template_index"]) & ~F.array_contains(acc["d"], way["destination_index"])
-        ti, di = way["template_index"].cast("int"), way["destination_index"].cast("int")
-        one = F.struct(ti.alias("template_index"), di.alias("destination_index"), (-way["worse"]).alias("score"))
-        grown = F.struct(F.array_append(acc["t"], ti).alias("t"), F.array_append(acc["d"], di).alias("d"), F.array_append(acc["out"], one).alias("out"))
-        return F.when(free, grown).otherwise(acc)
 
-    refined = listed.select(pair, F.explode(F.aggregate("ways", zero, take, lambda a: a["out"])).alias("m")).select(pair, F.lit("refined").alias("phase"), "m.template_index", "m.destination_index", "m.score")
-    told = exact.filter("status = 'matched'").select(pair, F.lit("exact").alias("phase"), "template_index", "destination_index", F.lit(1.0).alias("score")).unionByName(refined)
-    alone = lambda status, index: exact.filter(F.col("status") == status).join(refined.select(pair, index), [pair, index], "left_anti").select(pair, F.lit(None).cast("string").alias("phase"), "template_index", "destination_index", F.lit(None).cast("double").alias("score"))
-    return told.unionByName(alone("unmatched_template", "template_index")).unionByName(alone("unmatched_destination", "destination_index"))
+def _chosen(scored: DataFrame, pair: str) -> DataFrame:
+    """(pair, template_index, destination_index, score): of the scored ways of each pair those that are
+    taken in the destination's order."""
+    listed = scored.groupBy(pair).agg(F.array_sort(F.collect_list(F.struct("destination_index", (-F.col("score")).alias("worse"), "template_index"))).alias("ways"))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ways in batch.column(1).to_pylist():
+                used_t, used_d, one = set(), set(), []
+                for w in ways:
+                    if w["template_index"] not in used_t and w["destination_index"] not in used_d:
+                        used_t.add(w["template_index"])
+                        used_d.add(w["destination_index"])
+                        one.append({"template_index": w["template_index"], "destination_index": w["destination_index"], "score": -w["worse"]})
+                out.append(one)
+            kind = pa.list_(pa.struct([("template_index", pa.int32()), ("destination_index", pa.int32()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], [pair, "out"])
+
+    kind = scored.schema[pair].dataType.simpleString()
+    return listed.mapInArrow(taken, f"`{pair}` {kind}, out array<{_WAY}>").select(pair, F.inline("out"))
+
+
+def match_tagged(blocks: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """match_text_blocks for both sides in one table (pair, side, index, normalized, total)."""
+    rows = _numbered(blocks, pair)
+    exact = rows.groupBy(pair, "normalized", "k").agg(*(F.min(_of_side(s, "index")).alias(f"{c}_index") for s, c in ((0, "template"), (1, "destination"))), F.max(_of_side(0, "total")).alias("t_total"), F.max(_of_side(1, "total")).alias("d_total"))
+    left = lambda mine, other, total: exact.filter(F.col(mine).isNotNull() & F.col(other).isNull()).select(pair, F.col(mine).alias("index"), "normalized", F.col(total).alias("total"))
+    scored = refined_scores(left("template_index", "destination_index", "t_total"), left("destination_index", "template_index", "d_total"), pair)
+    refined = _chosen(scored, pair).select(pair, F.lit("refined").alias("phase"), *(F.col(c).cast(exact.schema["template_index"].dataType).alias(c) for c in ("template_index", "destination_index")), "score")
+    told = exact.select(pair, F.when(F.col("template_index").isNotNull() & F.col("destination_index").isNotNull(), "exact").alias("phase"), "template_index", "destination_index", F.lit(None).cast("double").alias("score"))
+    # of a block that has a refined match the refined row is told, of any other its own
+    both = told.withColumn("at", F.array(F.struct(F.lit(0).alias("side"), F.col("template_index").alias("index")), F.struct(F.lit(1).alias("side"), F.col("destination_index").alias("index"))))
+    key = F.when(F.col("phase") == "exact", F.struct(F.lit(2).alias("side"), F.col("template_index").alias("index"))).when(F.col("template_index").isNotNull(), F.element_at("at", 1)).otherwise(F.element_at("at", 2))
+    own = both.select(pair, key.alias("key"), "phase", "template_index", "destination_index", F.when(F.col("phase") == "exact", 1.0).alias("score"))
+    keyed = lambda side, column, phase: F.struct(F.struct(F.lit(side).alias("side"), F.col(column).alias("index")).alias("key"), F.lit(phase).alias("phase"))
+    ways = F.array(keyed(0, "template_index", "refined"), keyed(1, "destination_index", "taken"))
+    told_of = refined.drop("phase").withColumn("way", F.explode(ways)).select(pair, "way.key", "way.phase", "template_index", "destination_index", "score")
+    best = own.unionByName(told_of).groupBy(pair, "key").agg(F.max(F.struct(F.coalesce("phase", F.lit("")).alias("phase"), "template_index", "destination_index", "score")).alias("m"))
+    return best.filter("m.phase <> 'taken'").select(pair, F.nullif("m.phase", F.lit("")).alias("phase"), "m.template_index", "m.destination_index", "m.score")
 
 
 def similarity(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -95,9 +151,10 @@ def similarity(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> Data
     empty. Sides have (pair, blocks); sums run in the order of the index."""
     from tesserae.functions import text
 
-    both = left.select(pair, F.col("blocks").alias("a")).join(right.select(pair, F.col("blocks").alias("b")), pair)
+    split = lambda df, name: df.select(pair, F.transform("blocks", text.words).alias(name))
+    both = split(left, "a").join(split(right, "b"), pair)
     total = F.greatest(F.size("a"), F.size("b"))
-    parts = F.zip_with("a", "b", lambda x, y: F.when(x.isNull() | y.isNull(), 0.0).otherwise(text.jaccard(text.words(x), text.words(y))))
+    parts = F.zip_with("a", "b", lambda x, y: F.when(x.isNull() | y.isNull(), 0.0).otherwise(text.jaccard(x, y)))
     score = F.when(total == 0, 1.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) / total)
     return both.select(pair, score.alias("score"))
 
@@ -109,9 +166,12 @@ def is_similar(scored: DataFrame, threshold: float) -> DataFrame:
 
 def merge_text(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
     """(pair, output): the destination's blocks, then the template's without a match of either phase."""
-    matches = match_text_blocks(template, destination, pair)
-    used = matches.filter("phase is not null").select(pair, F.col("template_index").alias("index"))
-    rest = template.join(used, [pair, "index"], "left_anti").select(pair, F.lit(1).alias("side"), "index", "normalized")
-    every = destination.select(pair, F.lit(0).alias("side"), "index", "normalized").unionByName(rest)
-    sorted_blocks = F.array_sort(F.collect_list(F.struct("side", "index", "normalized")))
-    return every.groupBy(pair).agg(F.array_join(F.transform(sorted_blocks, lambda b: b["normalized"]), "\n\n").alias("output"))
+    return merge_tagged(tagged(*(df.select(pair, "index", "normalized", "total") for df in (template, destination))), pair)
+
+
+def merge_tagged(blocks: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """merge_text for both sides in one table (pair, side, index, normalized, total)."""
+    used = match_tagged(blocks, pair).filter("phase is not null").select(pair, F.col("template_index").alias("index"), F.lit(0).alias("side"))
+    every = blocks.select(pair, "side", "index", "normalized").join(used, [pair, "side", "index"], "left_anti")
+    order = F.array_sort(F.collect_list(F.struct((1 - F.col("side")).alias("last"), "index", "normalized")))
+    return every.groupBy(pair).agg(F.array_join(F.transform(order, lambda b: b["normalized"]), "\n\n").alias("output"))

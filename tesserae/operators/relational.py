@@ -1,8 +1,8 @@
-"""The keyed merge of nested documents as joins over their nodes.
+"""The keyed merge of nested documents over their nodes.
 
 A node is (pair_id, path array<string>, is_object, value); objects have no value, arrays and scalars are leaves with
 their JSON. Merged are the destination's nodes and those template nodes that are neither at a destination's path nor
-below one of its leaves. The prefix condition is an equi-join over the template paths' ancestors.
+below one of its leaves. A template node looks up its own path and its ancestors' paths, each an equality.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,8 +27,8 @@ def _walk(value, path: list[str]) -> list[dict]:
     return here + [n for k, v in value.items() for n in _walk(v, [*path, k])]
 
 
-def json_nodes(df: DataFrame) -> DataFrame:
-    """The nodes of (pair_id, source); a source that can't be parsed has none."""
+def json_nodes(df: DataFrame, *keys: str) -> DataFrame:
+    """The nodes of (pair_id, source), or of other keys; a source that can't be parsed has none."""
 
     @F.arrow_udf(_NODES)
     def nodes(sources: pa.Array) -> pa.Array:
@@ -40,17 +40,29 @@ def json_nodes(df: DataFrame) -> DataFrame:
                 out.append(None)
         return pa.array(out, to_arrow_type(_NODES))
 
-    return df.select("pair_id", F.explode(nodes("source")).alias("n")).select("pair_id", "n.path", "n.is_object", "n.value")
+    keys = keys or ("pair_id",)
+    return df.select(*keys, F.explode(nodes("source")).alias("n")).select(*keys, "n.path", "n.is_object", "n.value")
 
 
 def merge_nodes(template: DataFrame, destination: DataFrame) -> DataFrame:
     """The nodes of the merge. A tree whose root is no object is replaced whole."""
-    keys = ["pair_id", "path"]
-    new = template.join(destination.select(*keys), keys, "left_anti")
-    leaves = destination.filter("not is_object").select("pair_id", F.col("path").alias("prefix"))
-    above = new.select("pair_id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("prefix"))
-    covered = above.join(leaves, ["pair_id", "prefix"], "left_semi").select(*keys).distinct()
-    return destination.unionByName(new.join(covered, keys, "left_anti").select(*destination.columns))
+    return merge_tagged(template.withColumn("side", F.lit(0)).unionByName(destination.withColumn("side", F.lit(1)))).select(*destination.columns)
+
+
+def merge_tagged(nodes: DataFrame) -> DataFrame:
+    """merge_nodes for both sides in one table with side 0 and 1; one shuffle, on the pair.
+
+    Every node stands at its own path; a template node also looks at each path above. Over the rows of one
+    path, the destination's are seen; a template node goes if one of its looks met a leaf, or its own a node.
+    """
+    own = F.size("path")
+    looks = F.when(F.col("side") == 0, F.sequence(F.lit(0), own)).otherwise(F.array(own))
+    rows = nodes.repartition("pair_id").withColumn("depth", F.explode(looks)).withColumn("seen", F.slice("path", F.lit(1), F.col("depth")))
+    there = Window.partitionBy("pair_id", "seen")
+    at = lambda c: F.coalesce(F.bool_or((F.col("side") == 1) & c).over(there), F.lit(False))
+    told = rows.withColumn("gone", (F.col("side") == 0) & (at(~F.col("is_object")) | (F.col("depth") == own) & at(F.lit(True))))
+    one = told.groupBy("pair_id", "side", "path").agg(F.bool_or("gone").alias("gone"), F.first("is_object").alias("is_object"), F.first("value").alias("value"))
+    return one.filter("not gone").select("pair_id", "path", "is_object", "value")
 
 
 def render(nodes: DataFrame) -> DataFrame:

@@ -30,20 +30,17 @@ def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_merge_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same merge as joins over the nodes of both sides."""
-    merged = relational.merge_nodes(*(relational.json_nodes(_pair(spark, sf_dir).select("pair_id", F.col(c).alias("source"))) for c in ("template", "destination")))
+    """The same merge over the nodes of both sides."""
+    texts = _pair(spark, sf_dir).select("pair_id", F.posexplode(F.array("template", "destination")).alias("side", "source"))
+    merged = relational.merge_tagged(relational.json_nodes(texts, "pair_id", "side"))
     return merged.filter("not is_object").select(F.col("pair_id").alias("event_id"), F.concat(F.lit("/"), F.array_join("path", "/")).alias("path"), "value")
 
 
-def _owners(df: DataFrame, source: str, family: str) -> DataFrame:
-    a = structured.analyze(F.col(source), family)
-    return df.select("pair_id", F.explode(a["owners"]).alias("o")).select("pair_id", "o.ord", "o.path")
-
-
 def json_owner_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pair(spark, sf_dir)
-    matched = match.match_owners(_owners(pairs, "template", "json"), _owners(pairs, "destination", "json"))
-    return matched.select(F.col("pair_id").alias("event_id"), "status", "path")
+    """Both sides of a pair are parsed in one batch of one reading."""
+    texts = _pair(spark, sf_dir).select("pair_id", F.posexplode(F.array("template", "destination")).alias("side", "source"))
+    owners = texts.select("pair_id", "side", F.explode(structured.analyze(F.col("source"), "json")["owners"]).alias("o")).select("pair_id", "side", "o.ord", "o.path")
+    return match.match_tagged_owners(owners).select(F.col("pair_id").alias("event_id"), "status", "path")
 
 
 def _merged(df: DataFrame, key: str, template: Column, destination: Column, family: str) -> DataFrame:

@@ -3,49 +3,53 @@ number % 3 <> 1 and the destination those with number % 3 <> 2, so that both sha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import match
-from tesserae.sources import table
+from tesserae.sources import spread, table
 
 
-def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, line_no, normalized) of every non-empty line of documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), "text")
-    lines = docs.select("pair_id", F.posexplode(T.blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("p", "normalized"))
-    return lines.select("pair_id", (F.col("p") + 1).alias("line_no"), "normalized")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, normal): the non-empty lines of documents; the table is spread, as small ones are one file."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    return docs.select(F.col("doc_id").alias("pair_id"), T.blocks(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("normal"))
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = line_blocks(spark, sf_dir)
-    as_side = lambda drop: lines.filter(F.col("line_no") % 3 != drop).select("pair_id", F.col("line_no").alias("index"), "normalized")
-    return as_side(1), as_side(2)
+def sides(spark: SparkSession, sf_dir: str, shortened: bool = False) -> DataFrame:
+    """(pair_id, side, index, normalized, total) of both sides, from one reading. shortened: the first
+    word of the destination's lines is taken away."""
+    keep = lambda drop: F.filter(F.transform("normal", lambda b, p: F.struct(p.alias("p"), b.alias("b"))), lambda x: (x["p"] + 1) % 3 != drop)
+    both = _lines(spark, sf_dir).select("pair_id", F.posexplode(F.array(keep(1), keep(2))).alias("side", "kept"))
+    rows = both.select("pair_id", "side", F.size("kept").alias("total"), F.posexplode("kept").alias("index", "one"))
+    text = F.col("one.b")
+    normalized = F.when(F.col("side") == 1, F.regexp_replace(text, r"\A[^ ]+ ", "")).otherwise(text) if shortened else text
+    return rows.select("pair_id", "side", "index", normalized.alias("normalized"), "total")
 
 
 def text_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = match.match_text_blocks_exact(*sides(spark, sf_dir))
+    matched = match.match_tagged_exact(sides(spark, sf_dir))
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return matched.groupBy("pair_id").agg(count("matched"), count("unmatched_template"), count("unmatched_destination"))
 
 
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     normal = T.normalize_text(F.col("text"))
     return docs.select("doc_id", F.md5(normal).alias("normalized_md5"), F.length(normal).cast("long").alias("n_chars"))
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with their spans in the normalised text; a line is a paragraph."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     spans = T.block_spans(T.blocks(F.replace("text", F.lit("\n"), F.lit("\n\n"))))
     return docs.select("doc_id", F.explode(spans).alias("b")).select("doc_id", F.col("b.index").cast("long").alias("index"), F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("stop"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     lines = T.blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") + shift).alias("pair_id"), lines.alias("blocks"))
+    return spread(table(spark, sf_dir, "documents")).select((F.col("doc_id") + shift).alias("pair_id"), lines.alias("blocks"))
 
 
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,23 +58,14 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.is_similar(scored, 0.1).select("pair_id", F.round("score", 6).alias("score"), "matched")
 
 
-def _indexed(side: DataFrame) -> DataFrame:
-    """A side with consecutive indices and the number of its blocks."""
-    order = Window.partitionBy("pair_id").orderBy("index")
-    return side.select("pair_id", (F.row_number().over(order) - 1).alias("i"), "normalized", F.count("*").over(Window.partitionBy("pair_id")).alias("total")).withColumnRenamed("i", "index")
-
-
 def text_refined_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both phases over documents; of the destination's lines the first word is taken away."""
-    t, d = (_indexed(s) for s in sides(spark, sf_dir))
-    d = d.withColumn("normalized", F.regexp_replace("normalized", r"\A[^ ]+ ", ""))
-    found = match.match_text_blocks(t, d)
+    found = match.match_tagged(sides(spark, sf_dir, shortened=True))
     return found.select("pair_id", "phase", "template_index", "destination_index", F.round("score", 6).alias("score"))
 
 
 def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, d = (_indexed(s) for s in sides(spark, sf_dir))
-    merged = match.merge_text(t, d)
+    merged = match.merge_tagged(sides(spark, sf_dir))
     return merged.select("pair_id", F.md5("output").alias("output_md5"), F.length("output").cast("long").alias("n_chars"))
 
 

@@ -288,3 +288,28 @@ def test_review_of_a_manifest(spark):
     assert ("context_mismatch", "replay_rejected") in told(state) and [r.id for r in state.requests.collect()] == ["family_context:toml"]
     state = manifest.review_manifest(suites, families, contexts, profiles, decisions, None, True)
     assert ("missing_context", "replay_rejected") in told(state)
+
+
+def test_distance_by_bits():
+    import random
+
+    from tesserae.functions import distance
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé好") for _ in range(rng.randrange(0, 14))) for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[: rng.randrange(0, len(a) + 1)] + b[:2] + a[rng.randrange(0, len(a) + 1) :]
+        want = plain(a, b)
+        for most in (0, 2, 5, 30):
+            assert distance.bounded(a, b, most) == (want if want <= most else -1)
+    long = "word " * 9000
+    assert distance.bounded(long, "x" + long[7:], 50) == 7
