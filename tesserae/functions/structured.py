@@ -16,14 +16,15 @@ from tesserae import formats
 from tesserae.contracts import ANALYSIS, MERGE_RESULT
 
 
-def _type(ddl: str) -> tuple[T.DataType, pa.DataType]:
+def result_type(ddl: str) -> tuple[T.DataType, pa.DataType]:
+    """A struct's type for Spark and for Arrow."""
     kind = T.StructType.fromDDL(f"x {ddl}")[0].dataType
     return kind, to_arrow_type(kind)
 
 
 def analyze(source: Column, family: str, dialect: str | None = None, backend: str | None = None) -> Column:
     """The ANALYSIS of each source: ok and diagnostics, or owners in order and the normalised text."""
-    spark_type, arrow_type = _type(ANALYSIS)
+    spark_type, arrow_type = result_type(ANALYSIS)
 
     @F.arrow_udf(spark_type)
     def analysed(sources: pa.Array) -> pa.Array:
@@ -38,7 +39,7 @@ def analyze(source: Column, family: str, dialect: str | None = None, backend: st
 
 def merge(template: Column, destination: Column, family: str, dialect: str | None = None, backend: str | None = None) -> Column:
     """The MERGE_RESULT of each pair: destination over template."""
-    spark_type, arrow_type = _type(MERGE_RESULT)
+    spark_type, arrow_type = result_type(MERGE_RESULT)
 
     @F.arrow_udf(spark_type)
     def merged(templates: pa.Array, destinations: pa.Array) -> pa.Array:
@@ -51,7 +52,7 @@ def merge(template: Column, destination: Column, family: str, dialect: str | Non
 def splice(source: Column, outputs: Column, family: str) -> Column:
     """The MERGE_RESULT of putting outputs (a map from owner path or surface address to text) into a
     Markdown or Ruby source."""
-    spark_type, arrow_type = _type(MERGE_RESULT)
+    spark_type, arrow_type = result_type(MERGE_RESULT)
     put = {"markdown": formats.markdown.splice, "ruby": formats.ruby.splice}[family]
 
     @F.arrow_udf(spark_type)

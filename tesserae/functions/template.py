@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token: upper or lower case words behind {, the first two divided by |, later ones by :.
-TOKEN = r"\{[A-Za-z0-9_]+\|[A-Za-z0-9_]+(?::[A-Za-z0-9_]+)*\}"
+#: How tokens look unless something else is said: words in braces, the first two divided by |, later ones by :.
+TOKENS = {"pre": "{", "post": "}", "separators": ("|", ":"), "min_segments": 2, "max_segments": None, "segment_pattern": "[A-Za-z0-9_]"}
+
+
+def token_pattern(config: Mapping[str, object] | None = None) -> tuple[str, int, int]:
+    """(pattern, characters before a token's key, characters behind it) of a configuration over TOKENS: pre and post, separators
+    (the last one divides all later segments), the least and most segments, and a segment's character class."""
+    c = TOKENS | {k: v for k, v in (config or {}).items() if v is not None}
+    one = str(c["segment_pattern"])
+    segment = f"{one}+" if one.startswith("[") and one.endswith("]") else f"(?:{one})+"
+    separators, least, most = tuple(c["separators"]), int(c["min_segments"]), c["max_segments"]
+    if least < 1 or most is not None and most < least or not separators:
+        raise ValueError("tokens need a separator and segments from one up to the most")
+    pattern, opened, k = segment, 0, 1
+    while k < max(least, len(separators)) and (most is None or k < most):  # each with a separator of its own
+        pattern += ("" if k < least else "(?:") + re.escape(separators[min(k, len(separators)) - 1]) + segment
+        opened += k >= least
+        k += 1
+    if most is None or k < most:
+        pattern += f"(?:{re.escape(separators[-1])}{segment})" + ("*" if most is None else f"{{0,{most - k}}}")
+    return re.escape(c["pre"]) + pattern + ")?" * opened + re.escape(c["post"]), len(c["pre"]), len(c["post"])
+
+
+TOKEN = token_pattern()[0]
 
 
 def logical_path(path: Column) -> Column:
@@ -57,17 +82,23 @@ def destination_path(path: Column, project_name: str | None = None, omitted: tup
     )
 
 
-def token_keys(content: Column) -> Column:
-    """The distinct tokens of a text in the order of their first places, without braces."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(TOKEN), 0), lambda t: F.substring(t, F.lit(2), F.length(t) - 2)))
+def _key(token: Column, before: int, behind: int) -> Column:
+    return F.substring(token, F.lit(before + 1), F.length(token) - before - behind)
+
+
+def token_keys(content: Column, config: Mapping[str, object] | None = None) -> Column:
+    """The distinct tokens of a text in the order of their first places, without what stands around them."""
+    pattern, before, behind = token_pattern(config)
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(pattern), 0), lambda t: _key(t, before, behind)))
 
 
-def resolve_tokens(content: Column, replacements: dict[str, str]) -> Column:
+def resolve_tokens(content: Column, replacements: dict[str, str], config: Mapping[str, object] | None = None) -> Column:
     """Each token with a replacement replaced, in one pass; others stay."""
     if not replacements:
         return content
+    pattern, before, behind = token_pattern(config)
     table = F.create_map(*[F.lit(x) for kv in replacements.items() for x in kv])
-    texts = F.split(content, TOKEN, -1)
-    found = F.regexp_extract_all(content, F.lit(TOKEN), 0)
-    shown = F.transform(found, lambda t: F.coalesce(F.try_element_at(table, F.substring(t, F.lit(2), F.length(t) - 2)), t))
+    texts = F.split(content, pattern, -1)
+    found = F.regexp_extract_all(content, F.lit(pattern), 0)
+    shown = F.transform(found, lambda t: F.coalesce(F.try_element_at(table, _key(t, before, behind)), t))
     return F.aggregate(F.zip_with(texts, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), F.lit(""), lambda acc, x: F.concat(acc, x))

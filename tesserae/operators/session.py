@@ -27,6 +27,7 @@ class Request:
     replacements: Mapping[str, str] = field(default_factory=dict)
     allowed_families: tuple[str, ...] = ()
     omitted: tuple[str, ...] = ()
+    config: Mapping[str, object] | None = None  # of tokens
 
     def normalized_mode(self) -> str:
         """An unknown mode in a request means plan."""
@@ -64,15 +65,17 @@ def entry_diagnostics(plan: DataFrame, adapters: tuple[str, ...] = template.ADAP
 
 
 def run(spark: SparkSession, request: Request) -> Session:
-    """Runs a session. plan reads only; apply and reapply write what they create or update. The applied
+    """Runs a session; a mode that isn't known is an error (requests of a kind in `requests` normalise it). plan reads only; apply and reapply write what they create or update. The applied
     plan is kept before it is written, since it reads the files it replaces."""
+    if request.mode not in MODES:
+        raise ValueError(f"unsupported template session mode: {request.mode}")
     problems = request.diagnostics()
     if problems:
         return Session(None, None, None, 0, problems)
     files = trees.read_tree(spark, request.template_root)
     numbered = files.select(F.struct("path").alias("ord"), "path", "content")
     overrides = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(request.overrides)], "ord int, path string, strategy string") if request.overrides else None
-    plan = template.plan_execution(numbered, trees.read_tree(spark, request.destination_root), request.project_name, request.default_strategy, overrides, request.replacements, request.omitted)
+    plan = template.plan_execution(numbered, trees.read_tree(spark, request.destination_root), request.project_name, request.default_strategy, overrides, request.replacements, request.omitted, request.config)
     adapters = adapters_for(request.allowed_families)
     if request.normalized_mode() == "plan":
         return Session(plan, None, template.session_status("plan", plan, None, adapters), 0, [])

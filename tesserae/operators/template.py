@@ -9,12 +9,13 @@ prepared_template_content, preparation_action, execution_action, ready, destinat
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.contracts import DIAGNOSTIC
+from tesserae.contracts import DIAGNOSTIC, MERGE_RESULT
 from tesserae.functions import structured
 from tesserae.functions import template as T
 
@@ -39,15 +40,15 @@ def plan_entries(template: DataFrame, project_name: str | None = None, default_s
     return rows.withColumn("action", F.when(F.col("destination_path").isNull(), "omit").otherwise(F.col("strategy")))
 
 
-def plan_execution(template: DataFrame, destination: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None, replacements: Mapping[str, str] | None = None, omitted: tuple[str, ...] = ()) -> DataFrame:
+def plan_execution(template: DataFrame, destination: DataFrame, project_name: str | None = None, default_strategy: str = "merge", overrides: DataFrame | None = None, replacements: Mapping[str, str] | None = None, omitted: tuple[str, ...] = (), config: Mapping[str, object] | None = None) -> DataFrame:
     """The whole plan of template files (ord, path, content) over destination files (path, content). omitted: logical
-    paths that have no destination, such as a tool's own settings."""
+    paths that have no destination, such as a tool's own settings. config: how tokens look (functions.template.TOKENS)."""
     rows = plan_entries(template, project_name, default_strategy, overrides, omitted)
     there = destination.select(F.col("path").alias("destination_path"), F.col("content").alias("destination_content"), F.lit(True).alias("found"))
     rows = rows.join(there, "destination_path", "left").withColumn("destination_exists", F.coalesce("found", F.lit(False))).drop("found")
     none, strategy = F.col("destination_path").isNull(), F.col("strategy")
     write = F.when(none, "omit").when(strategy == "keep_destination", "keep").when(F.col("destination_exists"), "update").otherwise("create")
-    keys = T.token_keys(F.col("template_content"))
+    keys = T.token_keys(F.col("template_content"), config)
     known = F.array(*[F.lit(k) for k in replacements or {}]).cast("array<string>")
     rows = rows.withColumn("write_action", write).withColumn("token_keys", keys).withColumn("unresolved_token_keys", F.array_except("token_keys", known))
     rows = rows.withColumn("token_resolution_required", ~none & ~strategy.isin("keep_destination", "raw_copy"))
@@ -57,7 +58,7 @@ def plan_execution(template: DataFrame, destination: DataFrame, project_name: st
     return rows.select(
         "*",
         F.when(blocked, "unresolved_tokens").alias("block_reason"),
-        F.when(~blocked, F.when(required, T.resolve_tokens(content, dict(replacements or {}))).otherwise(content)).alias("prepared_template_content"),
+        F.when(~blocked, F.when(required, T.resolve_tokens(content, dict(replacements or {}), config)).otherwise(content)).alias("prepared_template_content"),
         F.when(blocked, "blocked").when(required, "resolve_tokens").otherwise("pass_through").alias("preparation_action"),
         F.when(blocked, "blocked").when(none, "omit").when(F.col("write_action") == "keep", "keep").when(strategy == "raw_copy", "raw_copy")
         .when(strategy == "accept_template", "write_prepared_content").otherwise("merge_prepared_content").alias("execution_action"),
@@ -84,6 +85,29 @@ def preview(plan: DataFrame) -> DataFrame:
     return plan.select("*", status.alias("status"), output.alias("output"))
 
 
+#: A merge of one's own: takes an entry (destination_path, family, dialect, prepared_template_content,
+#: destination_content) and returns a dictionary with ok, and diagnostics, output and policies as far as there are any.
+Merger = Callable[[dict], dict]
+
+
+def _called(mergers: Mapping[str, Merger] | Merger) -> Column:
+    """The MERGE_RESULT of each merge by mergers of one's own, by family or for all, in Arrow batches."""
+    spark_type = structured.result_type(MERGE_RESULT)
+
+    @F.arrow_udf(spark_type[0])
+    def merged(entries: pa.Array) -> pa.Array:
+        out = []
+        for e in entries.to_pylist():
+            merger = None if e is None else mergers if callable(mergers) else mergers[e["family"]]
+            out.append(None if merger is None else {"ok": False, "diagnostics": [], "output": None, "policies": []} | merger(e))
+        return pa.array(out, spark_type[1])
+
+    entry = F.struct("destination_path", "classification.family", "classification.dialect", "prepared_template_content", "destination_content")
+    here = (F.col("execution_action") == "merge_prepared_content") & F.col("destination_content").isNotNull()
+    known = here if callable(mergers) else here & F.col("classification.family").isin(*mergers)
+    return F.when(known, merged(F.when(known, entry)))
+
+
 def _adapter_result(adapters: tuple[str, ...]) -> Column:
     """The MERGE_RESULT of each merge; only rows of the family are sent to its Python merger."""
     family, dialect = F.col("classification.family"), F.col("classification.dialect")
@@ -102,10 +126,13 @@ def _adapter_result(adapters: tuple[str, ...]) -> Column:
     return F.when(merges, none) if out is None else out.when(merges, none)
 
 
-def apply(plan: DataFrame, adapters: tuple[str, ...] = ADAPTERS) -> DataFrame:
+def apply(plan: DataFrame, adapters: tuple[str, ...] | Mapping[str, Merger] | Merger = ADAPTERS) -> DataFrame:
     """The plan with status, output and diagnostics of carrying it out. A merge that fails, or whose
-    family has no adapter, is blocked and leaves its diagnostics."""
-    rows = plan.withColumn("merge", _adapter_result(adapters))
+    family has no adapter, is blocked and leaves its diagnostics. adapters: names of built-in ones, or mergers of
+    one's own by family, or one for all merges."""
+    own = callable(adapters) or isinstance(adapters, Mapping)
+    merge = F.coalesce(_called(adapters), _adapter_result(())) if own else _adapter_result(adapters)
+    rows = plan.withColumn("merge", merge)
     action, there = F.col("execution_action"), F.col("destination_content")
     failed = F.col("merge").isNotNull() & (~F.col("merge.ok") | F.col("merge.output").isNull())
     output = F.when(failed, F.lit(None)).when(F.col("merge").isNotNull(), F.col("merge.output")).when(action == "keep", there).when(F.col("ready"), F.col("prepared_template_content"))

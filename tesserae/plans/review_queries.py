@@ -67,9 +67,9 @@ def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision for every other customer; customers without orders have no group."""
+    """A decision for every other customer, some on groups that there never were."""
     action = F.when(F.col("c_custkey") % 6 == 0, "wait").otherwise(review.APPLY)
-    request = F.concat(F.lit("projected_child_group:group "), F.col("c_custkey").cast("string"))
+    request = F.concat(F.when(F.col("c_custkey") % 10 == 4, "projected_child_group:nobody ").otherwise("projected_child_group:group "), F.col("c_custkey").cast("string"))
     return table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), request.alias("request_id"), action.alias("action"))
 
 
@@ -99,7 +99,7 @@ def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUPS = """cases AS (SELECT o_orderkey AS ord, 'group ' || o_custkey AS g, o_orderstatus AS p, o_orderpriority AS c FROM orders),
 groups AS (SELECT g, min(ord) AS first, arg_min(p, ord) AS p, arg_min(c, ord) AS c, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS ids, string_agg('d' || ord, ',' ORDER BY ord) AS dids,
   coalesce(string_agg(CASE WHEN p = 'F' THEN ord::VARCHAR END, ',' ORDER BY ord), '') AS done, coalesce(string_agg(CASE WHEN p <> 'F' THEN ord::VARCHAR END, ',' ORDER BY ord), '') AS open, count(*) AS n FROM cases GROUP BY g),
-decisions AS (SELECT c_custkey AS ord, 'projected_child_group:group ' || c_custkey AS request_id, 'group ' || c_custkey AS g FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0)"""
+decisions AS (SELECT c_custkey AS ord, 'projected_child_group:' || g AS request_id, g FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 4 THEN 'nobody ' ELSE 'group ' END || c_custkey AS g FROM customer) WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0)"""
 _OUTCOME = "['passed', 'failed', 'skipped', 'unknown'][user_id % 4 + 1]"
 _COUNTS = f"count(*) AS total, count(*) FILTER ({_OUTCOME} = 'passed') AS passed, count(*) FILTER ({_OUTCOME} = 'failed') AS failed, count(*) FILTER ({_OUTCOME} = 'skipped') AS skipped"
 _SELECT = """told AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 2 THEN NULL

@@ -313,3 +313,49 @@ def test_distance_by_bits():
             assert distance.bounded(a, b, most) == (want if want <= most else -1)
     long = "word " * 9000
     assert distance.bounded(long, "x" + long[7:], 50) == 7
+
+
+def test_tokens_of_other_looks(spark):
+    from tesserae.functions import template as T
+
+    text = "a {A|B} {A|B:C:D} {A} <<x.y>> <<x.y.z>> <<x>> {A:B} {A|B|C}"
+    df = spark.createDataFrame([(text,), (None,)], "c string")
+    for config, want in (
+        (None, ["A|B", "A|B:C:D"]), ({"min_segments": 1}, ["A|B", "A|B:C:D", "A"]), ({"max_segments": 2}, ["A|B"]), ({"max_segments": 3}, ["A|B"]), ({"min_segments": 4}, ["A|B:C:D"]),
+        ({"pre": "<<", "post": ">>", "separators": ["."]}, ["x.y", "x.y.z"]), ({"pre": "<<", "post": ">>", "separators": ["."], "min_segments": 1, "max_segments": 2}, ["x.y", "x"]), ({"segment_pattern": "[A-B]"}, ["A|B"]),
+    ):
+        assert [r[0] for r in df.select(T.token_keys(F.col("c"), config)).collect()] == [want, []]
+    got = df.select(T.resolve_tokens(F.col("c"), {"x.y": "1", "x": "2"}, {"pre": "<<", "post": ">>", "separators": ["."], "min_segments": 1})).first()[0]
+    assert got == text.replace("<<x.y>>", "1").replace("<<x>>", "2")
+    with pytest.raises(ValueError):
+        T.token_pattern({"min_segments": 3, "max_segments": 2})
+
+
+def test_own_mergers_and_invocations(spark, tmp_path):
+    from tesserae.operators import requests
+
+    source, target = tmp_path / "t", tmp_path / "d"
+    for root, files in ((source, {"a.md": "# T {X|Y}\n", "b.yml": "k: 1\n", "c.txt": "new"}), (target, {"a.md": "# D\n", "b.yml": "z: 1\n"})):
+        root.mkdir()
+        for name, content in files.items():
+            (root / name).write_text(content)
+    roots = {"template_root": str(source), "destination_root": str(target)}
+    seen = requests.invoke(spark, {"operation": "inspect", "replacements": {"X|Y": "!"}, **roots})
+    assert seen["outcome"] is None and seen["inspection"]["mode"] == "plan" and seen["inspection"]["source_kind"] == "payload"
+    status = seen["inspection"]["session"].status.first()
+    assert status.missing_families == ["text", "yaml"] and not status.ready and (target / "a.md").read_text() == "# D\n"
+    plan = seen["inspection"]["session"].plan
+    own = {r.destination_path: (r.status, r.output) for r in template.apply(plan, {"yaml": lambda e: {"ok": True, "output": e["prepared_template_content"] + e["destination_content"]}}).collect()}
+    assert own == {"a.md": ("blocked", None), "b.yml": ("updated", "k: 1\nz: 1\n"), "c.txt": ("created", "new")}
+    lost = requests.invoke(spark, {"operation": "run", "request": {"request_kind": "options", "options": {"mode": "odd"}}})["outcome"]
+    assert [d["reason"] for d in lost.diagnostics] == ["missing_destination_root", "missing_template_root"] and lost.plan is None
+    profiles = {"p": {"mode": "apply", "default_strategy": "accept_template", "replacements": {"X|Y": "p"}}}
+    none = requests.resolve({"payload": {"profile_name": "q", **roots}}, profiles)["session_request"]
+    assert not none["ready"] and [d["reason"] for d in none["diagnostics"]] == ["missing_profile"]
+    done = requests.invoke(spark, {"operation": "run", "payload": {"default_profile_name": "p", **roots}}, profiles)["outcome"]
+    assert done.written == 3 and (target / "a.md").read_text() == "# T p\n"
+    told = requests.entrypoint({"payload": {"profile_name": "p", "context": {"project_name": "n"}, "default_strategy": "merge", **roots}})
+    assert told["runner_request"]["overrides"] == {"mode": None, "context": {"project_name": "n"}, **roots} and requests.entrypoint({})["source_kind"] == ""
+    for bad in (lambda: requests.invoke(spark, {"operation": "x"}), lambda: session.run(spark, session.Request("odd", str(source), str(target)))):
+        with pytest.raises(ValueError, match="unsupported"):
+            bad()
