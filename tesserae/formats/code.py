@@ -16,7 +16,8 @@ from tesserae.formats import trees
 _COMMON = r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\%s]|\\.)*"|`(?:[^`\\]|\\.)*`|"""
 #: Comments and strings. Rust's strings may have several lines, and an apostrophe alone is a lifetime.
 _SKIP = {
-    "typescript": re.compile(_COMMON % r"\n" + r"'(?:[^'\\\n]|\\.)*'", re.S),
+    # a slash where a value is expected begins a regular expression
+    "typescript": re.compile(_COMMON % r"\n" + r"'(?:[^'\\\n]|\\.)*'|(?P<before>[=(,:\[!&|?{};+~<>*%-]\s*|\b(?:return|typeof|case|in|of)\s+)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.S),
     "rust": re.compile(_COMMON % "" + r"'(?:\\[^'\n]+|[^'\\\n])'", re.S),
     "go": re.compile(_COMMON % r"\n" + r"'(?:\\[^'\n]+|[^'\\\n])'", re.S),
 }
@@ -35,7 +36,12 @@ _NAMED = {
 def _statements(kind: str, source: str) -> list[str]:
     """Source texts of the outermost statements: each ends at a semicolon, at its closing brace, or at a
     line's end where nothing is open and the next line doesn't go on with it."""
-    blank = _SKIP[kind].sub(lambda m: re.sub(r"[^\n]", " " if m[0][0] == "/" else "_", m[0]), source)
+    def blanked(m: re.Match) -> str:
+        before = m.groupdict().get("before") or ""
+        rest = m[0][len(before) :]
+        return before + re.sub(r"[^\n]", " " if rest[:2] in ("//", "/*") else "_", rest)
+
+    blank = _SKIP[kind].sub(blanked, source)
     out, depth, start = [], [], 0
     closing = {")": "(", "]": "[", "}": "{"}
 

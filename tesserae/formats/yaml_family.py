@@ -1,7 +1,8 @@
-"""A subset of YAML: block mappings, scalars, and flat sequences in block or flow form.
+"""A subset of YAML: block mappings, scalars (plain, quoted, literal and folded ones, of several lines too), and
+flat sequences in block or flow form.
 
-Anchors, aliases, tags, block scalars and several documents are refused as parse errors; null values
-and nested sequences as unsupported features.
+Anchors, aliases, tags and several documents are refused as parse errors; null values and nested sequences as
+unsupported features.
 """
 
 from __future__ import annotations
@@ -62,11 +63,60 @@ def _value(text: str):
     return _flow(text) if text.startswith("[") else scalar(text)
 
 
+_BLOCK = re.compile(r"(?:(?:.*:\s|-\s)\s*|)([|>])([+-]?[1-9]?|[1-9][+-])\Z", re.S)
+
+
+class _Text(str):
+    """A value that was read whole already."""
+
+
+def _block_text(lines: list[str], style: str, header: str) -> str:
+    """A literal (|) or folded (>) scalar of raw lines."""
+    said = re.search(r"[1-9]", header)
+    full = [x for x in lines if x.strip(" ")]
+    parent = min((len(x) - len(x.lstrip(" ")) for x in full), default=0)
+    indent = parent if not said else min(parent, int(said[0]) + len(full[0]) - len(full[0].lstrip(" ")) if full else 0)
+    rows = [x[indent:] if x.strip(" ") else "" for x in lines]
+    end = len(rows)
+    while end and not rows[end - 1]:
+        end -= 1
+    body, tail = rows[:end], len(rows) - end
+    if style == ">":
+        out, k = "", 0
+        while k < len(body):
+            out += body[k]
+            gap = 0
+            while k + 1 + gap < len(body) and not body[k + 1 + gap]:
+                gap += 1
+            if k + 1 + gap < len(body):
+                kept = body[k][:1] in (" ", "\t") or body[k + 1 + gap][:1] in (" ", "\t") or not body[k]
+                out += "\n" * (gap + 1) if kept else "\n" * gap or " "
+            k += 1 + gap
+    else:
+        out = "\n".join(body)
+    if "-" in header or not body and "+" not in header:
+        return out
+    return out + "\n" * (1 + tail if "+" in header and body else tail if "+" in header else 1)
+
+
 def load(source: str) -> dict | list | str | None:
-    lines = []
-    for raw in re.split(r"\r\n?|\n", source):
+    lines, texts, every = [], {}, re.split(r"\r\n?|\n", source)
+    ended = len(every) - (every[-1] == "")
+    skipped = -1
+    for number, raw in enumerate(every):
+        if number <= skipped:
+            continue
         m = _COMMENT.match(raw)
         text = (m[1] if m else raw).rstrip()
+        block_at = _BLOCK.match(text.strip())
+        if block_at:
+            own = len(text) - len(text.lstrip(" "))
+            skipped = number
+            while skipped + 1 < ended and (not every[skipped + 1].strip(" ") or len(every[skipped + 1]) - len(every[skipped + 1].lstrip(" ")) > own):
+                skipped += 1
+            name = f"\0{number}"
+            texts[name] = _Text(_block_text(every[number + 1 : skipped + 1], block_at[1], block_at[2]))
+            text = text[: len(text) - len(block_at[1] + block_at[2])] + name
         if text.strip() and not (text == "---" and not lines):
             if text.strip("\t") != text.lstrip("\t").rstrip("\t") or "\t" in text[: len(text) - len(text.lstrip())]:
                 raise ValueError("tabs cannot indent")
@@ -84,7 +134,7 @@ def load(source: str) -> dict | list | str | None:
                 at += 1
                 if (at < len(lines) and lines[at][0] > indent) or _KEY.match(text) or text.startswith(("- ", "[", "{")):
                     raise Unsupported
-                items.append(scalar(text))
+                items.append(texts[text] if text in texts else scalar(text))
             return items
         out: dict = {}
         while at < len(lines) and lines[at][0] == indent:
@@ -94,9 +144,12 @@ def load(source: str) -> dict | list | str | None:
             key, rest = scalar(m[1].strip()), (m[2] or "").strip()
             at += 1
             deeper = at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("- "))
-            if rest and at < len(lines) and lines[at][0] > indent:
-                raise ValueError(f"unexpected indentation at {lines[at][1]}")
-            out[key if isinstance(key, str) else trees.dump(key)] = _value(rest) if rest or not deeper else block(lines[at][0])
+            while rest and at < len(lines) and lines[at][0] > indent:  # a scalar that goes on
+                if rest[0] in "[{\0" or rest[0] in "\"'" and rest[-1] == rest[0] and len(rest) > 1 or rest[0] not in "\"'" and _KEY.match(lines[at][1]):
+                    raise ValueError(f"unexpected indentation at {lines[at][1]}")
+                rest = f"{rest} {lines[at][1]}"
+                at += 1
+            out[key if isinstance(key, str) else trees.dump(key)] = texts.get(rest) if rest in texts else _value(rest) if rest or not deeper else block(lines[at][0])
         if at < len(lines) and lines[at][0] > indent:
             raise ValueError(f"unexpected indentation at {lines[at][1]}")
         return out
@@ -104,7 +157,7 @@ def load(source: str) -> dict | list | str | None:
     if not _KEY.match(lines[0][1]) and not lines[0][1].startswith("-"):
         if len(lines) > 1:
             raise ValueError("expected a mapping")
-        return _value(lines[0][1])
+        return texts.get(lines[0][1]) or _value(lines[0][1])
     value = block(lines[0][0])
     if at < len(lines):
         raise ValueError(f"unexpected {lines[at][1]}")

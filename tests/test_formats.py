@@ -79,7 +79,7 @@ def test_yaml_cases():
     load = yaml_family.load
     assert load('---\na: 1 # c\nb:\n- x\n- "y: z"\nc:\n  d: [1, \'it\'\'s\', two]\n  e: http://x/#f\nf: "#"\n') == {"a": 1, "b": ["x", "y: z"], "c": {"d": [1, "it's", "two"], "e": "http://x/#f"}, "f": "#"}
     assert load("a: yes\nb: 007\nc: 1.5\nd: '1'\ne: off\nf: 1_000\n") == {"a": True, "b": 7, "c": 1.5, "d": "1", "e": False, "f": 1000}
-    for source, want in (("", "parse_error"), ("- a", "parse_error"), ("just text", "parse_error"), ("a: *x", "parse_error"), ("a: |\n  b", "parse_error"), ("a: b: c", "parse_error"), ("a:\n    b: 1\n  c: 2", "parse_error"), ("a:", "unsupported_feature"), ("a: ~", "unsupported_feature"), ("a:\n  - [1]", "unsupported_feature"), ("a:\n  - b: 1", "unsupported_feature")):
+    for source, want in (("", "parse_error"), ("- a", "parse_error"), ("just text", "parse_error"), ("a: *x", "parse_error"), ("a: |\n  b", None), ("a: b: c", "parse_error"), ("a:\n    b: 1\n  c: 2", "parse_error"), ("a:", "unsupported_feature"), ("a: ~", "unsupported_feature"), ("a:\n  - [1]", "unsupported_feature"), ("a:\n  - b: 1", "unsupported_feature")):
         assert category(formats.parse(source, "yaml", "yaml")) == want, source
     m = formats.merge("a:\n  x: 1\n  l: [1]\n", 'a:\n  l:\n    - "2"\nb: "o k"\n', "yaml", "yaml")
     assert m["output"] == 'a:\n  l:\n    - 2\n  x: 1\nb: "o k"\n'
@@ -136,3 +136,25 @@ def test_strip_commas_and_comments():
     assert json_family.strip_trailing_commas('[1,[2,],"a,]",]') == '[1,[2],"a,]"]'
     assert json_family.strip_comments('"/*" /* "x */ 1 // y\n2') == '"/*"  1 \n2'
     assert category(formats.parse("x", "cobol", "cobol")) == "unsupported_feature"
+
+
+def test_yaml_texts_of_several_lines():
+    from tesserae.formats import yaml_family
+
+    yaml = pytest.importorskip("yaml")
+    for text in (
+        "a: |\n  one\n  two\nb: 1\n", "a: |-\n  one\n\n   two\n\nb: 1\n", "a: |+\n  one\n\n\nb: 1\n", "a: >\n  one\n  two\n\n  three\n    four\n  five\nb: x\n", "a: >-\n  one # no comment\n  two: three\n",
+        "a:\n  b: |\n    - x\n    y\n  c: 2\n", "a: one\n  two\n  three\nb: 1\n", "a: 'one\n  two'\nb: 1\n", 'a: "one\n  two"\n', "a:\n  - |\n    x\n    y\n  - z\n", "a: |\n\n  x\n", "a: >\n  x\n\n\n  y\n", "a: |2\n   x\n  y\n",
+    ):
+        assert yaml_family.load(text) == yaml.safe_load(text), text
+    for bad in ("a: one\n  b: two\n", 'a: "one"\n  two\n', "a: [1]\n  x\n"):
+        with pytest.raises(ValueError):
+            yaml_family.load(bad)
+    assert yaml_family.parse("a: |\n  x\n  y\n", "yaml")["normalized_source"] == 'a: "x\\ny\\n"\n'
+
+
+def test_typescript_regular_expressions():
+    from tesserae.formats import code
+
+    source = "const r = /[(]/g;\nconst q = a / b / (c);\nfunction f() { return /}[/\"]/.test(x) }\nlet z = s.replace(/'/g, \"\") // {\n"
+    assert [d["match_key"] for d in code.analyse("typescript", source)[1]] == ["f", "q", "r", "z"]
