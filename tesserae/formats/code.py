@@ -78,7 +78,7 @@ def _import_entries(kind: str, text: str) -> list[tuple[str, str]]:
         return [(re.sub(r"\s*;$", "", re.sub(r"^(?:pub(?:\([^)]*\))?\s+)?use\s+", "", text)).strip(), text)]
     quoted = re.findall(r"[\"'`]([^\"'`]+)[\"'`]", text)
     if kind == "go" and re.match(r"import\s*\(", text):
-        return [(q, next(x.strip() for x in text.split("\n") if f'"{q}"' in x or f"`{q}`" in x)) for q in quoted]
+        return [(q, x.strip()) for x in text.split("\n") for q in re.findall(r"[\"`]([^\"`]+)[\"`]", x)]
     return [(quoted[-1] if quoted else re.sub(r"^import\s+", "", text).rstrip(";").strip(), text)]
 
 

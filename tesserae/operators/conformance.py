@@ -76,14 +76,14 @@ def select_cases(runs: DataFrame) -> DataFrame:
     return runs.withColumn("messages", messages).withColumn("status", F.when(F.size("messages") == 0, "selected").otherwise("skipped"))
 
 
-def run_suite(runs: DataFrame, execute: Callable[[pd.Series], tuple[str, list[str]]]) -> DataFrame:
+def run_suite(runs: DataFrame, execute: Callable[[dict], tuple[str, list[str]]]) -> DataFrame:
     """(ref, outcome, messages) of each run; execute is called on selected runs only, in batches on the
     executors, and returns (outcome, messages)."""
     chosen = select_cases(runs)
 
     def executed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [execute(row) for _, row in batch.iterrows()]
+            done = [execute(row) for row in batch.to_dict("records")]
             yield pd.DataFrame({"ref": batch["ref"], "outcome": [d[0] for d in done], "messages": [list(d[1]) for d in done]})
 
     skipped = chosen.filter("status = 'skipped'").select("ref", F.lit("skipped").alias("outcome"), "messages")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import review_queries, structured_queries, template_queries, text_queries
+from tesserae.plans import review_queries, shape_queries, structured_queries, template_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (text_queries, structured_queries, template_queries, review_queries):
+for module in (text_queries, structured_queries, shape_queries, template_queries, review_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

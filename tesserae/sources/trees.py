@@ -9,18 +9,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources import paths
+
 #: Bytes of files that one task reads.
 TASK_BYTES = 64 << 20
 
 
 def _system(root: str) -> tuple[pafs.FileSystem, str]:
-    system, path = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+    system, path = paths.system(root)
     return system, path.rstrip("/")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every file below root, path relative to it, hidden and empty files too. A root
     that isn't there gives no rows; one that is a file is an error. The driver lists names; tasks read."""
+    root = paths.qualified(spark, str(root))
     system, base = _system(root)
     kind = system.get_file_info(base).type
     if kind == pafs.FileType.File:
@@ -45,6 +48,7 @@ def write_tree(files: DataFrame, root: str) -> int:
     """Writes (path, content) below root, in the tasks; root must be a folder that they share. Files that
     are there are replaced, each as a whole. Returns the number written. Paths that lead out of root
     are an error; null contents aren't written."""
+    root = paths.qualified(files.sparkSession, str(root))
     system, base = _system(root)
     system.create_dir(base, recursive=True)
 
