@@ -49,10 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each but the last is written as Parquet in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents; each but the last is written as Parquet in the shared folder, and
+    removed when the next one has been written. What the last one reads stays, as its result is lazy."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared.place(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            shared.remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.paths import qualified, system
+
+__all__ = ["BROADCAST_ROWS", "cut", "fields", "folder", "named", "place", "qualified", "remove", "row", "small", "system"]
 #: Up to so many rows of ids (8 bytes each) are broadcast; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,23 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme and authority that Spark gives it: a bare one is of fs.defaultFS, not of
-    the machine that happens to open it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(conf).makeQualified(there).toString()
-
-
-def system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a qualified path and the path in it, for use on any machine. s3a is s3 there."""
-    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        raise ValueError(f"{path} has no scheme; see qualified()")
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), re.sub(r"\Afile:/*", "/", path)
-    return pafs.FileSystem.from_uri(re.sub(r"\As3[an]://", "s3://", path))
-
-
 def place(spark: SparkSession, what: str) -> str:
     """A new qualified path in the shared folder."""
     return qualified(spark, f"{folder(spark)}/{what}-{uuid.uuid4().hex}")
