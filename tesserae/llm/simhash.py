@@ -1,25 +1,25 @@
 """SimHash near-dedup by vantage-point trees.
 
 A text's fingerprint has 128 bits: of the hashes of its distinct lower-case words, the majority at
-each bit. Two documents are near copies if their fingerprints differ in at most `radius` bits, their
-lengths in words by at most a quarter, and they share an anchor. Anchors are the `ANCHORS` least hashes of a
-text's runs of three words (of its words, if it has fewer): of texts that share the part J of their runs all
-but about (1 - J)^ANCHORS share one. Over 128 bits, points that are far apart are all about equally far
-apart, so that a radius of 24 prunes no tree over a whole corpus; anchors divide it into scopes,
-and a point meets the others of its scopes only, however many points there are.
+each bit. Two documents are near copies if their fingerprints differ in at most `radius` bits and
+their lengths in words by at most a quarter. All pairs within the radius are found exactly:
 
 * Equal fingerprints of equal length are one point from here on.
-* Scopes of up to `SHARD_POINTS` points are searched whole, many to a task, the longer ones by a
-  vantage-point tree that all their points descend together.
-* A larger scope is divided by length into bands as wide as the allowed difference, so that a partner lies in
+* Points are divided by length into bands as wide as the allowed difference, so that a partner lies in
   the same band or the next, and a band of more points than a shard should hold by a vantage-point tree over
   Hamming distance. Its vantage points come from a sample; what is found doesn't depend on it. A point
   lives in one leaf and is sent as a query to every later leaf that its radius overlaps by the triangle
   bounds, and to the overlapping leaves of the next band. A shard's queries are counted, and dealt to several
   tasks when they are many, each with a copy of the shard's points, so a task's memory is bounded.
-
-All pairs of a scope within the radius are found exactly. A task can return pairs, or a forest with the
-same connections and fewer edges than points, so groups of thousands of copies don't become millions of rows.
+* Over 128 bits, points that are far apart are all about equally far apart, so that a radius of 24 prunes few
+  leaves: a large band's shards meet nearly all. Within a task, points are therefore looked up by pieces of
+  16 bits. Fingerprints that differ in at most 24 bits differ in at most 3 of the first piece or in at most 2 of
+  another (otherwise in 4 + 7 * 3 = 25 at least), so each query visits the points with such a piece, about
+  one in 40, and no pair is lost. The work still grows with the square of a band, with that small factor.
+
+A task can return pairs, or a forest with the same connections and fewer edges than points, so groups of
+thousands of copies don't become millions of rows. Rows that come with scopes can be searched within
+those only (`near_in_scopes`, by `anchors` for instance); that leaves out pairs, and no query does it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,12 +44,12 @@ RADIUS = 24
 LENGTHS = (5, 4)
 BAND = math.log(LENGTHS[0] / LENGTHS[1]) * 1.0001
 #: Points of a shard, and queries that one task holds beside them.
-SHARD_POINTS, TASK_QUERIES = 20_000, 200_000
+SHARD_POINTS, TASK_QUERIES = 100_000, 200_000
 #: Points sampled for each shard, to choose vantage points.
 SAMPLED = 64
-#: Points of a leaf within a task.
-LEAF = 512
-#: Anchors of a text; rows of scopes that a task searches; scopes of so few points are searched side by side.
+#: Points of a leaf within a task; pairs looked at together; found pairs that are united together.
+LEAF, TOGETHER, FOUND = 512, 1 << 17, 1_000_000
+#: Anchors of a text: of texts that share the part J of their runs of three words, all but about (1 - J)^ANCHORS share one; rows of scopes that a task searches; scopes of so few points are searched side by side.
 ANCHORS, TASK_ROWS, FEW = 12, 200_000, 48
 
 #: A byte's bits as eight counters of a byte each.
@@ -106,10 +107,12 @@ def _majorities(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray,
     return out[:, 0], out[:, 1], words
 
 
-def fingerprint(text: Column) -> Column:
-    """struct(high, low, words, anchors); null where a text is null or has no words."""
+def fingerprint(text: Column, anchored: bool = True) -> Column:
+    """struct(high, low, words, and if anchored anchors); null where a text is null or has no words."""
     number = T.LongType()
-    kind = T.StructType([T.StructField("high", number), T.StructField("low", number), T.StructField("words", T.IntegerType()), T.StructField("anchors", T.ArrayType(number, False))])
+    kind = T.StructType([T.StructField("high", number), T.StructField("low", number), T.StructField("words", T.IntegerType())])
+    if anchored:
+        kind = kind.add("anchors", T.ArrayType(number, False))
 
     @F.arrow_udf(kind)
     def hashed(texts: pa.Array) -> pa.Array:
@@ -117,14 +120,17 @@ def fingerprint(text: Column) -> Column:
         for s in arrays.slices(arrays.strings(texts)):
             row, word = _words(s)
             done.append(_majorities(row, word, len(s)))
-            bounds, found = anchors(row, word, len(s))
-            lists.append(found)
-            size.append(np.diff(bounds))
+            if anchored:
+                bounds, found = anchors(row, word, len(s))
+                lists.append(found)
+                size.append(np.diff(bounds))
         high, low, words = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.uint64) for k in range(3))
+        columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(words.astype(np.int32))]
+        if not anchored:
+            return pa.StructArray.from_arrays(columns, kind.names, mask=pa.array(words == 0))
         bounds = np.cumsum(np.concatenate(size)).astype(np.int32)
         each = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(lists).view(np.int64)), type=pa.list_(pa.field("element", pa.int64(), False)))
-        columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(words.astype(np.int32)), each]
-        return pa.StructArray.from_arrays(columns, ["high", "low", "words", "anchors"], mask=pa.array(words == 0))
+        return pa.StructArray.from_arrays([*columns, each], kind.names, mask=pa.array(words == 0))
 
     return hashed(text)
 
@@ -185,11 +191,58 @@ def descend(tree: Node, points: np.ndarray, rows: np.ndarray, radius: int) -> It
         yield from descend(child, points, rows[(d - radius <= high) & (d + radius >= low)], radius)
 
 
-def search(points: np.ndarray, words: np.ndarray, queries: np.ndarray, query_words: np.ndarray, radius: int, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (query, point) within the radius and the allowed lengths. itself: the queries are
-    the points, and each pair comes once."""
-    if not len(points) or not len(queries):
-        return
+@lru_cache(maxsize=2)
+def pieces(radius: int) -> list[tuple[int, np.ndarray]]:
+    """(most, the 16-bit values of at most so many bits) of the eight pieces of a fingerprint: the numbers most + 1
+    add up to radius + 1, so that of two fingerprints within the radius one piece at least differs in `most` bits or fewer."""
+    bits = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)).astype(int)
+    each, more = divmod(radius + 1, 8)
+    return [(most, np.flatnonzero(bits <= most).astype(np.int32)) for most in (each - (k >= more) for k in range(8))]
+
+
+def _by_pieces(points: np.ndarray, queries: np.ndarray, radius: int, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, point) within the radius, each pair once, and if itself with query < point."""
+    lanes, asked = (np.ascontiguousarray(x).view(np.uint16).reshape(len(x), 8) for x in (points, queries))
+    asked_high = np.ascontiguousarray(queries[:, 0])
+    mosts = np.array([most for most, _ in pieces(radius)])
+    for k, (_, masks) in enumerate(pieces(radius)):
+        if not len(masks):
+            continue
+        order = np.argsort(lanes[:, k], kind="stable")
+        high = points[order, 0]
+        begin = np.searchsorted(lanes[order, k], np.arange((1 << 16) + 1))
+        count = np.diff(begin)
+        there = count > 0
+        step = max(1, TOGETHER // len(masks))
+        for s in range(0, len(queries), step):
+            own = asked[s : s + step, k].astype(np.int32)[:, None]
+            value = own ^ masks
+            asks = there[value]
+            if itself:  # of two values, the lesser asks
+                asks &= value >= own
+            asks = np.flatnonzero(asks)
+            value, who = value.ravel()[asks], s + asks // len(masks)
+            upto, at = np.cumsum(count[value]), 0
+            while at < len(value):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, "right")))
+                v, before = value[at:to], upto[at - 1] if at else 0
+                a = np.repeat(who[at:to], count[v])
+                b = np.arange(len(a)) + np.repeat(begin[v] - (upto[at:to] - count[v] - before), count[v])
+                at = to
+                close = np.flatnonzero(np.bitwise_count(asked_high[a] ^ high[b]) <= radius)
+                a, b = a[close], order[b[close]]
+                close = hamming(queries[a], points[b]) <= radius
+                a, b = a[close], b[close]
+                earlier = (np.bitwise_count(asked[a, :k] ^ lanes[b, :k]) <= mosts[:k]).any(axis=1)
+                if itself:
+                    earlier |= (asked[a, k] == lanes[b, k]) & (a >= b)  # equal values ask each other
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                if not earlier.all():
+                    yield a[~earlier], b[~earlier]
+
+
+def _by_tree(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, point) within the radius, each pair once."""
     tree = grow(points, np.arange(len(points)), LEAF, tight=True)
     for leaf, found in descend(tree, queries, np.arange(len(queries)), radius):
         here = points[leaf.rows]
@@ -199,13 +252,22 @@ def search(points: np.ndarray, words: np.ndarray, queries: np.ndarray, query_wor
             a, b = np.nonzero(near)
             a, b = q[a], leaf.rows[b]
             near = hamming(queries[a], points[b]) <= radius
-            a, b = a[near], b[near]
-            short, long = np.minimum(query_words[a], words[b]).astype(np.int64), np.maximum(query_words[a], words[b]).astype(np.int64)
-            ok = LENGTHS[1] * long <= LENGTHS[0] * short
-            if itself:
-                ok &= a < b
-            if ok.any():
-                yield a[ok], b[ok]
+            yield a[near], b[near]
+
+
+def search(points: np.ndarray, words: np.ndarray, queries: np.ndarray, query_words: np.ndarray, radius: int, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, point) within the radius and the allowed lengths. itself: the queries are
+    the points, and each pair comes once. Few points are searched by a tree, more by pieces."""
+    if not len(points) or not len(queries):
+        return
+    by_tree = len(points) < 2 * sum(len(masks) for _, masks in pieces(radius))
+    for a, b in _by_tree(points, queries, radius) if by_tree else _by_pieces(points, queries, radius, itself):
+        short, long = np.minimum(query_words[a], words[b]).astype(np.int64), np.maximum(query_words[a], words[b]).astype(np.int64)
+        ok = LENGTHS[1] * long <= LENGTHS[0] * short
+        if itself:
+            ok &= a < b
+        if ok.any():
+            yield a[ok], b[ok]
 
 
 def band_of(words: Column) -> Column:
@@ -295,14 +357,23 @@ def near(points: DataFrame, radius: int = RADIUS, forest: bool = True, shard_poi
         rep, words = rows["rep"].to_numpy(np.int64), rows["words"].to_numpy(np.int64)
         fp = rows[["high", "low"]].to_numpy(np.int64).view(np.uint64)
         n = int((~rows["query"].to_numpy(bool)).sum())
-        union, pairs = components.Forest(len(rep)), []
+        union, pairs, held = components.Forest(len(rep)), [], []
+
+        def keep(most: int) -> None:
+            if held and sum(len(a) for a, _ in held) > most:
+                a, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                held.clear()
+                if forest:
+                    union.add(a, b)
+                else:
+                    pairs.append((rep[a], rep[b]))
+
         ways = [(fp[n:], words[n:], n, False)] + ([(fp[:n], words[:n], 0, True)] if key[1] == 0 else [])
         for queries, lengths, base, itself in ways:
             for a, b in search(fp[:n], words[:n], queries, lengths, radius, itself):
-                if forest:
-                    union.add(a + base, b)
-                else:
-                    pairs.append((rep[a + base], rep[b]))
+                held.append((a + base, b))
+                keep(FOUND)
+        keep(0)
         if forest:
             out = np.flatnonzero(union.label != np.arange(len(rep)))
             pairs = [(rep[out], rep[union.label[out]])]
@@ -310,7 +381,9 @@ def near(points: DataFrame, radius: int = RADIUS, forest: bool = True, shard_poi
         arrays.release()
         return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    routed = route(points, plan(points, radius, shard_points, task_queries), radius)
+    # a number of its own: shards are few bytes and much work, and would be put together in few tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = route(points, plan(points, radius, shard_points, task_queries), radius).repartition(tasks, "shard", "task")
     return routed.groupBy("shard", "task").applyInPandas(found, "u long, v long")
 
 
@@ -376,12 +449,12 @@ def near_in_scopes(scoped: DataFrame, radius: int = RADIUS, forest: bool = True,
     return out.distinct()
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, n, high, low, words, anchors) of the documents that have an id and words, kept in the shared
-    folder; h is a hash of the text and n its length, to tell apart texts of one id."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchored: bool = True) -> DataFrame:
+    """(id, h, n, high, low, words, and if anchored anchors) of the documents that have an id and words, kept in
+    the shared folder; h is a hash of the text and n its length, to tell apart texts of one id."""
     text = shared.named(text_col)
-    rows = docs.select(shared.named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), fingerprint(text).alias("f"))
-    return shared.cut(rows.filter("id is not null and f is not null").select("id", "h", "n", "f.high", "f.low", "f.words", "f.anchors"))
+    rows = docs.select(shared.named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), fingerprint(text, anchored).alias("f"))
+    return shared.cut(rows.filter("id is not null and f is not null").select("id", "h", "n", "f.*"))
 
 
 def duplicates_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -390,8 +463,7 @@ def duplicates_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     same = ["high", "low", "words"]
     points = prints.groupBy(*same).agg(F.min(F.struct("id", "h", "n")).alias("least"))
     points = shared.cut(points.withColumn("rep", F.monotonically_increasing_id()))
-    scoped = prints.select(*same, F.explode("anchors").alias("scope")).distinct().join(points.select(*same, "rep"), same)
-    roots = components.components(near_in_scopes(shared.cut(scoped), radius)).select(F.col("v").alias("rep"), "root")
+    roots = components.components(near(points, radius)).select(F.col("v").alias("rep"), "root")
     grouped = points.join(roots, "rep", "left").select(*same, "least", F.coalesce("root", "rep").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("kept"))
     grouped = grouped.join(kept, "root").select(*same, "kept")
@@ -407,7 +479,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     a document of another id. A document without copies isn't in the result; no documents give no rows.
     Other columns don't matter, whatever their names.
     """
-    found = duplicates_of(fingerprint_table(docs, id_col, text_col), radius).select("id", F.col("kept.id").alias("kept"))
+    found = duplicates_of(fingerprint_table(docs, id_col, text_col, anchored=False), radius).select("id", F.col("kept.id").alias("kept"))
     found = found.filter("id <> kept").groupBy("id").agg(F.min("kept").alias("kept"))
     return found.select(F.col("id").alias(id_col), F.col("kept").alias(f"kept_{id_col}"))
 
@@ -420,7 +492,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "d
     id but not the text are documents of their own, and none goes unless it is a near copy. What goes is broadcast
     up to a counted number; beyond it the join shuffles. Other columns may have any names.
     """
-    prints = fingerprint_table(docs, id_col, text_col)
+    prints = fingerprint_table(docs, id_col, text_col, anchored=False)
     key = ["id", "h", "n"]
     drop = shared.cut(duplicates_of(prints, radius).select(*key).distinct())
     again = shared.cut(prints.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").select(*key))

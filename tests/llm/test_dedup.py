@@ -106,6 +106,40 @@ def test_groups_match_brute_force(sf):
     assert got == {ids[k]: least[r] for k, r in enumerate(root) if ids[k] != least[r]} and got
 
 
+def reordered(n):
+    """(id, text): pairs of texts of the same words in opposite order, one with a word more, without a run in common."""
+    from tests.llm.conftest import sentence
+
+    texts = [sentence(k, 150, 10**6) for k in range(n)]
+    return [(2 * k, t) for k, t in enumerate(texts)] + [(2 * k + 1, " ".join(t.split()[::-1]) + " more") for k, t in enumerate(texts)]
+
+
+def test_near_copies_without_a_common_run(spark):
+    """Fingerprints don't depend on the order of words, so texts in another order are near copies."""
+    table = reordered(30)
+    high, low, words = simhash.fingerprints(pa.array([t for _, t in table]))
+    fp = np.stack([high, low], axis=1)
+    assert not ((high[:30] == high[30:]) & (low[:30] == low[30:])).all() and (simhash.hamming(fp[:30], fp[30:]) <= simhash.RADIUS).all()
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == {(2 * k + 1, 2 * k) for k in range(30)}
+
+
+@pytest.mark.parametrize("radius", [24, 5, 30])
+def test_pieces_lose_no_pair(radius, monkeypatch):
+    """The search by pieces against all pairs, of a set with itself and with another; blocks of any size."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, (150, 128), np.uint8)
+    bits = base[rng.integers(0, 150, 1500)] ^ (rng.random((1500, 128)) < rng.uniform(0, 0.2, (1500, 1)))
+    bits[700:720] = bits[0]  # equal ones
+    fp = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    close = simhash.hamming(fp[:, None], fp[None]) <= radius
+    monkeypatch.setattr(simhash, "TOGETHER", 5_000)
+    for points, queries, itself, want in ((fp, fp, True, np.triu(close, 1)), (fp[:900], fp[900:], False, close[900:, :900])):
+        found = [np.concatenate(x) for x in zip(*simhash._by_pieces(points, queries, radius, itself), strict=True)]
+        got = set(zip(*(x.tolist() for x in found), strict=True))
+        assert len(got) == len(found[0]) and got == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True)) and len(got) > 20
+
+
 def test_points_meet_few_others(spark):
     """Of texts without copies no row reaches a search, and near copies meet in their scopes, however many
     documents there are: rows a point don't grow with the table."""
