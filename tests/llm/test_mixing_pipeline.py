@@ -100,6 +100,13 @@ def test_pipeline_against_its_decisions(spark, sf):
     assert gone and cut and len(keep) < len(text)
 
 
+def test_near_dedup_drops_texts_in_another_order(spark):
+    from tests.llm.test_dedup import reordered
+
+    docs = spark.createDataFrame(reordered(30), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 60, 2))
+
+
 def test_stages_keep_the_columns(spark, docs, none, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for table in (docs, none):
