@@ -222,6 +222,18 @@ class Encoder:
         flat, to = arrays.gather_ragged(ids, bounds, code)
         return to[np.searchsorted(starts, offsets)], flat
 
+    def gives_back(self, ids: np.ndarray, bounds: np.ndarray, column: pa.StringArray) -> np.ndarray:
+        """Whether ids[bounds[i]:bounds[i + 1]] decode to the bytes of the column's text i."""
+        offsets, data = arrays.buffers(column)
+        flat, to = arrays.gather_ragged(self.bytes, self.bounds, ids.astype(np.int64))
+        ends = to[bounds]
+        same = np.diff(ends) == np.diff(offsets)
+        rows = np.flatnonzero(same)
+        (back, at), (source, _) = arrays.gather_ragged(flat, ends, rows), arrays.gather_ragged(data, offsets, rows)
+        wrong = np.concatenate([[0], np.cumsum(back != source)])
+        same[rows] = wrong[at[1:]] == wrong[at[:-1]]
+        return same
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str | None]:
         """The text of ids[bounds[i]:bounds[i + 1]]; None where an id isn't in the vocabulary."""
         known = (ids >= 0) & (ids < len(self.bounds) - 1)
@@ -239,20 +251,24 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(text: Column, path: str = vocab.BYTE_BPE) -> Column:
-    """The ids of a text; null for null, an empty array for an empty text."""
+    """struct(token_ids, round_trip): the ids of a text, and whether their bytes are the text's, told slice by slice, so
+    that no decoded copy of a batch is held or leaves the worker. Nulls for null, an empty array and true for an empty text."""
+    kind = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trip", T.BooleanType())])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    @F.arrow_udf(kind)
     def encoded(texts: pa.Array) -> pa.Array:
         enc = encoder(path)
         texts = arrays.strings(texts)
-        bounds, ids, base = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
+        bounds, ids, same, base = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)], 0
         for s in arrays.slices(texts):
             b, i = enc.encode_texts(s)
+            same.append(enc.gives_back(i, b, s))
             bounds.append(b[1:] + base)
             ids.append(i)
             base += len(i)
         mask = texts.is_null() if texts.null_count else None
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids)), type=pa.list_(pa.field("element", pa.int32(), False)), mask=mask)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids)), type=pa.list_(pa.field("element", pa.int32(), False)), mask=mask)
+        return pa.StructArray.from_arrays([lists, pa.array(np.concatenate(same), mask=None if mask is None else mask.to_numpy(zero_copy_only=False))], kind.names)
 
     return encoded(text)
 
@@ -285,6 +301,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids, round_trip true. Texts of any length are encoded whole. Null ids and repeated rows are kept
     row by row; other columns don't matter, whatever their names.
     """
-    ids = docs.select(shared.named(id_col).alias(id_col), shared.named(text_col).alias("source"), encode(shared.named(text_col), path).alias("token_ids"))
-    back = ids.select(id_col, "source", "token_ids", decode(F.col("token_ids"), path).alias("back"))
-    return back.select(id_col, "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), (F.col("back") == F.col("source")).alias("round_trip"))
+    ids = docs.select(shared.named(id_col).alias("id"), encode(shared.named(text_col), path).alias("e")).select("id", "e.*")
+    n_tokens = F.when(F.col("token_ids").isNotNull(), F.size("token_ids"))
+    return ids.select(F.col("id").alias(id_col), "token_ids", n_tokens.alias("n_tokens"), "round_trip")

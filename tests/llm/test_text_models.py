@@ -62,6 +62,18 @@ def test_bpe_matches_another_encoder_and_round_trips(docs, rows, none, reference
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_bpe_round_trip_is_told_in_the_encoder(docs):
+    """No decoded copy of the texts is held or leaves the workers; ids that give other bytes are seen."""
+    assert "decoded(" not in bpe.encode_documents(docs)._jdf.queryExecution().toString()
+    encoder = bpe.encoder(vocab.BYTE_BPE)
+    column = pa.array(["left out", "hello there", "", None, "größer über 你好 🙂", "x" * 50]).slice(1)
+    bounds, ids = encoder.encode_texts(column)
+    assert encoder.gives_back(ids, bounds, column).all()
+    ids[0], ids[-1] = ids[0] + 1, 3
+    texts = encoder.decode(ids, bounds)
+    assert encoder.gives_back(ids, bounds, column).tolist() == [t == (c or "") for t, c in zip(texts, column.to_pylist(), strict=True)] == [False, True, True, True, False]
+
+
 def test_bpe_of_awkward_pieces(reference):
     texts = ["x" * 3000, "ab" * 777, " " * 50 + "a", "don't'll've're's 12345 \r\n\r\n   　z", "'s", "''s 'll", "", "\n", "🙂" * 100, "á ñ ß", "tab\tand  two"]
     column = pa.array(texts)
