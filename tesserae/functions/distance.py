@@ -1,4 +1,4 @@
-"""Edit distance of long texts, in Arrow batches.
+"""Edit distance of texts, by bits.
 
 The built-in distance is quadratic in cells, which a pair of very long blocks makes minutes of. Here equal
 beginnings and ends are left out, and a column of the rest is a few operations on numbers of as many bits
@@ -7,12 +7,8 @@ as the pattern has characters.
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def _common(a: str, b: str) -> int:
+def common(a: str, b: str) -> int:
     """Characters that a and b begin with alike."""
     low, high = 0, min(len(a), len(b))
     while low < high:
@@ -26,9 +22,9 @@ def _common(a: str, b: str) -> int:
 
 def bounded(a: str, b: str, most: int) -> int:
     """The edit distance of a and b; -1 if it is more than `most`."""
-    k = _common(a, b)
+    k = common(a, b)
     a, b = a[k:], b[k:]
-    k = _common(a[::-1], b[::-1])
+    k = common(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
     if len(a) > len(b):
         a, b = b, a
@@ -53,12 +49,46 @@ def bounded(a: str, b: str, most: int) -> int:
     return score if score <= most else -1
 
 
-def long_distance(left: Column, right: Column, most: Column) -> Column:
-    """bounded() of each pair; null where a text is null."""
+def places(pattern: str) -> dict[str, int]:
+    """For each character of a pattern the bits of where it stands."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def beside(patterns: list[tuple[int, dict[str, int]]], text: str, bounds: list[int]) -> list[int]:
+    """The edit distance of a text to each of several patterns (length, places()), or -1 for all if each is more
+    than its bound. The patterns lie side by side in one number, with a free bit between them that ends a
+    carry, so a character of the text is a few operations for all of them."""
+    starts, full, at, offsets = 0, 0, 0, []
+    for size, _ in patterns:
+        offsets.append(at)
+        full |= ((1 << size) - 1) << at
+        starts |= (1 << at) if size else 0
+        at += size + 1
+    of = {}
+    for c in set(text):
+        bits = 0
+        for offset, (_, where) in zip(offsets, patterns, strict=True):
+            if c in where:
+                bits |= where[c] << offset
+        of[c] = bits
+    up, down, done = full, 0, 0
+    step = max(64, -(-len(text) // 8))
 
-    @F.arrow_udf("int")
-    def measured(lefts: pa.Array, rights: pa.Array, bounds: pa.Array) -> pa.Array:
-        rows = zip(lefts.to_pylist(), rights.to_pylist(), bounds.to_pylist(), strict=True)
-        return pa.array([None if a is None or b is None else bounded(a, b, m) for a, b, m in rows], pa.int32())
+    def now() -> list[int]:
+        cut = [((up >> o) & ((1 << n) - 1), (down >> o) & ((1 << n) - 1)) for o, (n, _) in zip(offsets, patterns, strict=True)]
+        return [done + u.bit_count() - v.bit_count() for u, v in cut]
 
-    return measured(left, right, most)
+    while done < len(text):
+        for c in text[done : done + step]:
+            same = of[c]
+            diagonal = ((((same & up) + up) ^ up) | same | down) & full
+            rises, falls = down | (full & ~(diagonal | up)), diagonal & up
+            rises = (rises << 1 & full) | starts
+            up, down = (falls << 1 & full) | (full & ~(diagonal | rises)), rises & diagonal
+        done = min(len(text), done + step)
+        if done < len(text) and all(s - (len(text) - done) > b for s, b in zip(now(), bounds, strict=True)):
+            return [-1] * len(patterns)
+    return now()

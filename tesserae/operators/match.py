@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tesserae.functions import distance
+from tesserae.functions import refined
 
 
 def tagged(template: DataFrame, destination: DataFrame) -> DataFrame:
@@ -62,38 +64,6 @@ def match_tagged_owners(owners: DataFrame, pair: str = "pair_id") -> DataFrame:
     return told.select(pair, status.alias("status"), "path", "ord")
 
 
-#: Weights of content, length and position, and the least score of a refined match.
-WEIGHTS, THRESHOLD = (0.7, 0.15, 0.15), 0.7
-#: Distances of blocks of more characters are Python's, by bits; shorter ones are the JVM's, by cells.
-LONG = 1000
-
-
-def refined_scores(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """(pair, template_index, destination_index, score) of block pairs (pair, index, normalized, total) that
-    score at least the threshold.
-
-    The join is on the pair, so a document's blocks meet only each other. Lengths bound the content's
-    share, so pairs that can't reach the threshold go before any distance is computed, and the distance
-    stops at the largest one allowed.
-    """
-    t = template.select(pair, F.col("index").alias("template_index"), F.col("normalized").alias("t"), F.col("total").alias("t_total"))
-    d = destination.select(pair, F.col("index").alias("destination_index"), F.col("normalized").alias("d"), F.col("total").alias("d_total"))
-    at = lambda i, n: F.when(F.col(n) > 1, F.col(i) / (F.col(n) - 1)).otherwise(0.5)
-    position = 1.0 - F.abs(at("template_index", "t_total") - at("destination_index", "d_total"))
-    longest = F.greatest(F.length("t"), F.length("d"))
-    size = F.when(F.length("t") == F.length("d"), 1.0).otherwise(F.least(F.length("t"), F.length("d")) / longest)
-    rows = t.join(d, pair).select("*", position.alias("position"), size.alias("size"), longest.alias("longest"))
-    rows = rows.filter((WEIGHTS[0] + WEIGHTS[1]) * F.col("size") + WEIGHTS[2] * F.col("position") >= THRESHOLD - 1e-9)
-    needed = (F.lit(THRESHOLD) - WEIGHTS[1] * F.col("size") - WEIGHTS[2] * F.col("position")) / WEIGHTS[0]
-    rows = rows.withColumn("most", F.ceil((1 - F.greatest(needed, F.lit(0.0))) * F.col("longest") + 1e-6).cast("int"))
-    long = F.col("longest") > LONG
-    rows = rows.withColumn("of_long", distance.long_distance(F.when(long, F.col("t")), F.when(long, F.col("d")), F.col("most")))
-    rows = rows.withColumn("distance", F.when(long, F.col("of_long")).otherwise(F.expr("CASE WHEN t = d THEN 0 ELSE levenshtein(t, d, most) END"))).filter("distance >= 0")
-    content = F.when(F.col("distance") == 0, 1.0).otherwise(1.0 - F.col("distance") / F.col("longest"))
-    score = WEIGHTS[0] * content + WEIGHTS[1] * F.col("size") + WEIGHTS[2] * F.col("position")
-    return rows.withColumn("score", score).filter(F.col("score") >= THRESHOLD).select(pair, "template_index", "destination_index", "score")
-
-
 def match_text_blocks(template: DataFrame, destination: DataFrame, pair: str = "pair_id") -> DataFrame:
     """(pair, phase, template_index, destination_index, score): exact matches, then refined ones among what
     is left (pair, index, normalized, total): in the destination's order each block takes the best
@@ -101,49 +71,47 @@ def match_text_blocks(template: DataFrame, destination: DataFrame, pair: str = "
     return match_tagged(tagged(*(df.select(pair, "index", "normalized", "total") for df in (template, destination))), pair)
 
 
-_WAY = "struct<template_index:int,destination_index:int,score:double>"
+_MATCH = "struct<phase:string,template_index:long,destination_index:long,score:double>"
+
+
+def _matched(rows: list[dict], refine: bool) -> list[dict]:
+    """The matches of a pair's rows (template_index, destination_index, normalized, total) of the exact phase."""
+    alone = lambda mine, other: [{"index": r[mine], "normalized": r["normalized"], "total": r["total"]} for r in rows if r[mine] is not None and r[other] is None and r["normalized"] is not None]
+    sides = alone("template_index", "destination_index"), alone("destination_index", "template_index")
+    ways = refined.ways(*sides) if refine and all(sides) else []
+    used_t, used_d = ({w[k] for w in ways} for k in (0, 1))
+    out = [{"phase": "refined", "template_index": t, "destination_index": d, "score": score} for t, d, score in ways]
+    for r in rows:
+        t, d = r["template_index"], r["destination_index"]
+        both = t is not None and d is not None
+        if both or not (t in used_t if d is None else d in used_d):
+            out.append({"phase": "exact" if both else None, "template_index": t, "destination_index": d, "score": 1.0 if both else None})
+    return out
 
 
-def _chosen(scored: DataFrame, pair: str) -> DataFrame:
-    """(pair, template_index, destination_index, score): of the scored ways of each pair those that are
-    taken in the destination's order."""
-    listed = scored.groupBy(pair).agg(F.array_sort(F.collect_list(F.struct("destination_index", (-F.col("score")).alias("worse"), "template_index"))).alias("ways"))
+def _by_pair(blocks: DataFrame, pair: str, result: Callable[[list[dict], list[dict]], object], ddl: str) -> DataFrame:
+    """(pair, out): of each pair result(rows of the exact phase, their matches). One shuffle, on the pair; a task
+    has one pair's blocks as Python's at a time."""
+    exact = _numbered(blocks, pair).groupBy(pair, "normalized", "k").agg(*(F.min(_of_side(s, "index")).cast("long").alias(f"{c}_index") for s, c in ((0, "template"), (1, "destination"))), F.max("total").cast("long").alias("total"))
+    listed = exact.groupBy(pair).agg(F.collect_list(F.struct("template_index", "destination_index", "normalized", "total")).alias("rows"))
+    kind = to_arrow_type(T.StructType.fromDDL(f"x {ddl}")[0].dataType)
 
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ways in batch.column(1).to_pylist():
-                used_t, used_d, one = set(), set(), []
-                for w in ways:
-                    if w["template_index"] not in used_t and w["destination_index"] not in used_d:
-                        used_t.add(w["template_index"])
-                        used_d.add(w["destination_index"])
-                        one.append({"template_index": w["template_index"], "destination_index": w["destination_index"], "score": -w["worse"]})
-                out.append(one)
-            kind = pa.list_(pa.struct([("template_index", pa.int32()), ("destination_index", pa.int32()), ("score", pa.float64())]))
+            for of, row in zip(batch.column(0), batch.column(1), strict=True):
+                rows = row.as_py()
+                out.append(result(rows, _matched(rows, of.is_valid)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], [pair, "out"])
 
-    kind = scored.schema[pair].dataType.simpleString()
-    return listed.mapInArrow(taken, f"`{pair}` {kind}, out array<{_WAY}>").select(pair, F.inline("out"))
+    return listed.mapInArrow(matched, f"`{pair}` {blocks.schema[pair].dataType.simpleString()}, out {ddl}")
 
 
 def match_tagged(blocks: DataFrame, pair: str = "pair_id") -> DataFrame:
     """match_text_blocks for both sides in one table (pair, side, index, normalized, total)."""
-    rows = _numbered(blocks, pair)
-    exact = rows.groupBy(pair, "normalized", "k").agg(*(F.min(_of_side(s, "index")).alias(f"{c}_index") for s, c in ((0, "template"), (1, "destination"))), F.max(_of_side(0, "total")).alias("t_total"), F.max(_of_side(1, "total")).alias("d_total"))
-    left = lambda mine, other, total: exact.filter(F.col(mine).isNotNull() & F.col(other).isNull()).select(pair, F.col(mine).alias("index"), "normalized", F.col(total).alias("total"))
-    scored = refined_scores(left("template_index", "destination_index", "t_total"), left("destination_index", "template_index", "d_total"), pair)
-    refined = _chosen(scored, pair).select(pair, F.lit("refined").alias("phase"), *(F.col(c).cast(exact.schema["template_index"].dataType).alias(c) for c in ("template_index", "destination_index")), "score")
-    told = exact.select(pair, F.when(F.col("template_index").isNotNull() & F.col("destination_index").isNotNull(), "exact").alias("phase"), "template_index", "destination_index", F.lit(None).cast("double").alias("score"))
-    # of a block that has a refined match the refined row is told, of any other its own
-    both = told.withColumn("at", F.array(F.struct(F.lit(0).alias("side"), F.col("template_index").alias("index")), F.struct(F.lit(1).alias("side"), F.col("destination_index").alias("index"))))
-    key = F.when(F.col("phase") == "exact", F.struct(F.lit(2).alias("side"), F.col("template_index").alias("index"))).when(F.col("template_index").isNotNull(), F.element_at("at", 1)).otherwise(F.element_at("at", 2))
-    own = both.select(pair, key.alias("key"), "phase", "template_index", "destination_index", F.when(F.col("phase") == "exact", 1.0).alias("score"))
-    keyed = lambda side, column, phase: F.struct(F.struct(F.lit(side).alias("side"), F.col(column).alias("index")).alias("key"), F.lit(phase).alias("phase"))
-    ways = F.array(keyed(0, "template_index", "refined"), keyed(1, "destination_index", "taken"))
-    told_of = refined.drop("phase").withColumn("way", F.explode(ways)).select(pair, "way.key", "way.phase", "template_index", "destination_index", "score")
-    best = own.unionByName(told_of).groupBy(pair, "key").agg(F.max(F.struct(F.coalesce("phase", F.lit("")).alias("phase"), "template_index", "destination_index", "score")).alias("m"))
-    return best.filter("m.phase <> 'taken'").select(pair, F.nullif("m.phase", F.lit("")).alias("phase"), "m.template_index", "m.destination_index", "m.score")
+    index = blocks.schema["index"].dataType
+    found = _by_pair(blocks, pair, lambda _, matches: matches, f"array<{_MATCH}>").select(pair, F.inline("out"))
+    return found.select(pair, "phase", *(F.col(c).cast(index).alias(c) for c in ("template_index", "destination_index")), "score")
 
 
 def similarity(left: DataFrame, right: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -171,7 +139,11 @@ def merge_text(template: DataFrame, destination: DataFrame, pair: str = "pair_id
 
 def merge_tagged(blocks: DataFrame, pair: str = "pair_id") -> DataFrame:
     """merge_text for both sides in one table (pair, side, index, normalized, total)."""
-    used = match_tagged(blocks, pair).filter("phase is not null").select(pair, F.col("template_index").alias("index"), F.lit(0).alias("side"))
-    every = blocks.select(pair, "side", "index", "normalized").join(used, [pair, "side", "index"], "left_anti")
-    order = F.array_sort(F.collect_list(F.struct((1 - F.col("side")).alias("last"), "index", "normalized")))
-    return every.groupBy(pair).agg(F.array_join(F.transform(order, lambda b: b["normalized"]), "\n\n").alias("output"))
+
+    def joined(rows: list[dict], matches: list[dict]) -> str:
+        used = {m["template_index"] for m in matches if m["phase"] is not None}
+        kept = [(0, r["destination_index"], r["normalized"]) for r in rows if r["destination_index"] is not None]
+        kept += [(1, r["template_index"], r["normalized"]) for r in rows if r["template_index"] is not None and r["template_index"] not in used]
+        return "\n\n".join(text for _, _, text in sorted(kept, key=lambda k: k[:2]) if text is not None)
+
+    return _by_pair(blocks, pair, joined, "string").withColumnRenamed("out", "output")

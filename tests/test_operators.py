@@ -75,6 +75,39 @@ def test_refined_match_and_merge(spark):
             assert merged[p] == "\n\n".join(d + [x for i, x in enumerate(t) if i not in used])
 
 
+def test_refined_match_has_one_shuffle_and_no_pairs(spark):
+    """Blocks of a pair meet in one row: no join of every block with every other, no distance cell by cell."""
+    blocks = spark.createDataFrame([(1, 0, 0, "a b", 1), (1, 1, 0, "a c", 1)], "pair_id long, side int, index int, normalized string, total int")
+    for df in (match.match_tagged(blocks), match.merge_tagged(blocks)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "levenshtein" not in plan and "Union" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("together", [30, 4096])
+def test_refined_ways_match_brute_force(monkeypatch, together):
+    """Long blocks, alike at their ends or not at all, compared some at once."""
+    from tesserae.functions import refined as ways_of
+
+    monkeypatch.setattr(ways_of, "TOGETHER", together)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 5)))
+    taken = 0
+    for _ in range(25):
+        t = [" ".join(word() for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 7))]
+        d = []
+        for x in rng.sample(t, len(t)):
+            w = x.split()
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = word()
+            d.append(rng.choice([" ".join(w), x.partition(" ")[2] or "b", "q" + x[1:-1] + "q", x[len(x) // 3 :].strip() or "c"]))
+        t, d = ([b for b in one if b not in other] for one, other in ((t, d), (d, t)))
+        side = lambda one: [{"index": i, "normalized": b, "total": len(one)} for i, b in enumerate(one)]
+        got = [("refined", a, b) for a, b, _ in ways_of.ways(side(t), side(d))]
+        assert got == refined(t, d)
+        taken += len(got)
+    assert taken > 30
+
+
 def test_owner_match_keeps_repeats(spark):
     t = spark.createDataFrame([(1, 0, "/a"), (1, 1, "/a"), (1, 2, "/b"), (2, 0, "/a")], "pair_id long, ord int, path string")
     d = spark.createDataFrame([(1, 0, "/a"), (1, 1, "/c")], "pair_id long, ord int, path string")
@@ -311,6 +344,14 @@ def test_distance_by_bits():
         want = plain(a, b)
         for most in (0, 2, 5, 30):
             assert distance.bounded(a, b, most) == (want if want <= most else -1)
+    for _ in range(200):
+        text, *others = ("".join(rng.choice("abé好") for _ in range(rng.randrange(0, 90))) for _ in range(rng.randrange(2, 6)))
+        patterns = [(len(o), distance.places(o)) for o in others]
+        want = [plain(o, text) for o in others]
+        assert distance.beside(patterns, text, [1000] * len(others)) == want
+        for most in (0, 5, 40):
+            found = distance.beside(patterns, text, [most] * len(others))
+            assert found == want or found == [-1] * len(others) and min(want) > most
     long = "word " * 9000
     assert distance.bounded(long, "x" + long[7:], 50) == 7
 
