@@ -49,7 +49,7 @@ def _merged(df: DataFrame, key: str, template: Column, destination: Column, fami
 
 
 def toml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     template = F.format_string('title = "order" # a comment\n[owner]\nkey = %d\nstatus = "%s"\n[owner.deep]\nx = [1, 2]\n', "o_custkey", "o_orderstatus")
     destination = F.format_string('[owner]\nkey = %d\n\n[zone]\npriority = "%s"\n', "o_orderkey", "o_orderpriority")
     return _merged(orders, "o_orderkey", template, destination, "toml")

@@ -158,3 +158,15 @@ def test_typescript_regular_expressions():
 
     source = "const r = /[(]/g;\nconst q = a / b / (c);\nfunction f() { return /}[/\"]/.test(x) }\nlet z = s.replace(/'/g, \"\") // {\n"
     assert [d["match_key"] for d in code.analyse("typescript", source)[1]] == ["f", "q", "r", "z"]
+
+
+def test_toml_merge_reads_each_text_once(monkeypatch):
+    """A text is read once, and neither listed nor shown, unless a float may be shown in a way that isn't read."""
+    read, plain = [], toml_family.load
+    monkeypatch.setattr(toml_family, "load", lambda source: read.append(source) or plain(source))
+    monkeypatch.setattr(toml_family, "parse", lambda *_: pytest.fail("the whole analysis is of no use to a merge"))
+    t, d = '[a] # x\nk = 1\nb.c = "x # y"\nl = ["q", 2]\n', "a.k = -2\n"
+    assert toml_family.merge(t, d, "toml")["output"] == '[a]\nk = -2\nl = ["q", 2]\n\n[a.b]\nc = "x # y"\n'
+    assert read == [t, d]
+    large = "9" * 25 + ".5"
+    assert category(toml_family.merge(f"a = {large}", "", "toml")) == "destination_parse_error" and len(read) == 5

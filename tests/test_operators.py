@@ -400,3 +400,14 @@ def test_own_mergers_and_invocations(spark, tmp_path):
     for bad in (lambda: requests.invoke(spark, {"operation": "x"}), lambda: session.run(spark, session.Request("odd", str(source), str(target)))):
         with pytest.raises(ValueError, match="unsupported"):
             bad()
+
+
+def test_tasks_have_bounded_rows(spark, tmp_path):
+    """A table in few files is divided by its rows, not by the cores only."""
+    from tesserae.sources import spread, table
+
+    spark.range(1000).write.parquet(str(tmp_path / "t.parquet"))
+    df = table(spark, str(tmp_path), "t")
+    got = spread(df, "id", 50)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 1000 and max(map(len, got.rdd.glom().collect())) < 100
+    assert spread(df, "id", 10**6).rdd.getNumPartitions() == max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
