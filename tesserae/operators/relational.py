@@ -49,15 +49,18 @@ def merge_nodes(template: DataFrame, destination: DataFrame) -> DataFrame:
     return merge_tagged(template.withColumn("side", F.lit(0)).unionByName(destination.withColumn("side", F.lit(1)))).select(*destination.columns)
 
 
-def merge_tagged(nodes: DataFrame) -> DataFrame:
+def merge_tagged(nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """merge_nodes for both sides in one table with side 0 and 1; one shuffle, on the pair.
 
     Every node stands at its own path; a template node also looks at each path above. Over the rows of one
     path, the destination's are seen; a template node goes if one of its looks met a leaf, or its own a node.
+    parts: the partitions of the shuffle, by the number of pairs. Without, the session's number holds however many
+    there are, and AQE makes fewer of them, by bytes that are a small part of what they take when sorted.
     """
     own = F.size("path")
     looks = F.when(F.col("side") == 0, F.sequence(F.lit(0), own)).otherwise(F.array(own))
-    rows = nodes.repartition("pair_id").withColumn("depth", F.explode(looks)).withColumn("seen", F.slice("path", F.lit(1), F.col("depth")))
+    divided = nodes.repartition(parts, "pair_id") if parts else nodes.repartition("pair_id")
+    rows = divided.withColumn("depth", F.explode(looks)).withColumn("seen", F.slice("path", F.lit(1), F.col("depth")))
     there = Window.partitionBy("pair_id", "seen")
     at = lambda c: F.coalesce(F.bool_or((F.col("side") == 1) & c).over(there), F.lit(False))
     told = rows.withColumn("gone", (F.col("side") == 0) & (at(~F.col("is_object")) | (F.col("depth") == own) & at(F.lit(True))))

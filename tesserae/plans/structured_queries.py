@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import structured
 from tesserae.operators import match, nested, relational
-from tesserae.sources import spread, table
+from tesserae.sources import pieces, spread, table
 
 
 def json_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template: props below a, and the user; destination: the event below a, and its type."""
     template = F.format_string('{"a":%s,"t":%d}', "props", "user_id")
     destination = F.format_string('{"u":"%s","a":{"z":%d}}', "event_type", "event_id")
-    return spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("pair_id"), template.alias("template"), destination.alias("destination"))
+    return spread(table(spark, sf_dir, "events"), "event_id").select(F.col("event_id").alias("pair_id"), template.alias("template"), destination.alias("destination"))
 
 
 def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_merge_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same merge over the nodes of both sides."""
     texts = _pair(spark, sf_dir).select("pair_id", F.posexplode(F.array("template", "destination")).alias("side", "source"))
-    merged = relational.merge_tagged(relational.json_nodes(texts, "pair_id", "side"))
+    merged = relational.merge_tagged(relational.json_nodes(texts, "pair_id", "side"), pieces(table(spark, sf_dir, "events"), 50_000))
     return merged.filter("not is_object").select(F.col("pair_id").alias("event_id"), F.concat(F.lit("/"), F.array_join("path", "/")).alias("path"), "value")
 
 

@@ -411,3 +411,16 @@ def test_tasks_have_bounded_rows(spark, tmp_path):
     got = spread(df, "id", 50)
     assert got.rdd.getNumPartitions() == 20 and got.count() == 1000 and max(map(len, got.rdd.glom().collect())) < 100
     assert spread(df, "id", 10**6).rdd.getNumPartitions() == max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+
+
+def test_relational_merge_is_divided_by_its_pairs(spark, tmp_path):
+    """The shuffle has as many partitions as the pairs ask, and AQE doesn't put them together."""
+    from tesserae.plans import registry
+
+    spark.range(400_000).selectExpr("id AS event_id", "7L AS user_id", "'x' AS event_type", "'{\"k\": 1}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    df = registry.QUERIES["json_merge_relational"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair_id" in plan and "REPARTITION_BY_NUM" in plan
+    few = spark.createDataFrame([(1, 0, ["a"], False, "1"), (1, 1, ["a"], False, "2")], "pair_id long, side int, path array<string>, is_object boolean, value string")
+    assert relational.merge_tagged(few, 7).rdd.getNumPartitions() == 7
+    assert [r.value for r in relational.merge_tagged(few, 7).collect()] == ["2"]
